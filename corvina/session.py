@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,15 +37,33 @@ def ship(spark: SparkSession) -> None:
     context._corvina_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: that of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests, local runs)."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = getattr(context, "_corvina_folder", None)
+        if folder is None:
+            folder = context._corvina_folder = "file://" + tempfile.mkdtemp(prefix="corvina-shared-")
+    return folder
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage is cut, and what reads it twice computes it once.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only if neither that nor a context-wide folder is set
-    (tests, local runs) is a temporary one made.
+    The files are deleted when the driver's Python ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvina-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/corvina-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(configuration).delete(where, True)
+        except Exception:  # the JVM may be gone already
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
