@@ -13,13 +13,13 @@ and letters of another script drawn alike.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +41,6 @@ LOOK_ALIKE = {
 # Characters that show nothing (soft hyphen, zero-width characters, direction marks, joiners).
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF]
 
-_JAMO = "ᄀ-하-ᅵᆨ-ᇂ"
-
 
 def _one(char: str) -> str:
     """The form of a single code point, before composition."""
@@ -78,27 +76,36 @@ class Transducer:
                 table[char] = form
         self.table = table
         check(table)
-        single = "".join(regex.escape(c) for c in sorted(table))
-        # A mark may stand behind a base with invisible characters between; the longest cluster is taken.
-        hidden = "".join(regex.escape(chr(c)) for c in INVISIBLE)
-        self.scanner = regex.compile(
-            rf"[^\p{{M}}{hidden}\n][{hidden}]*[\p{{M}}ﾞﾟ][\p{{M}}ﾞﾟ{hidden}]*|[{_JAMO}][{_JAMO}{hidden}]+|[가-힣][{hidden}]*[ᆨ-ᇂ]|[{single}]"
-        )
+        self.marks = frozenset(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M" and not "\ud800" <= c < "\ue000")
+        self.joining = self.marks | {chr(c) for c in _HIDDEN} | {chr(c) for c in (*range(0x1100, 0x1200), 0xFF9E, 0xFF9F)}
+        # One character class, which the standard library scans for quickly; everything else is passed over.
+        self.scanner = re.compile("[" + "".join(map(re.escape, sorted(set(table) | self.joining))) + "]+")
         self.seen: dict[str, str] = {}
 
-    def _rewrite(self, match) -> str:
-        part = match.group()
-        form = self.table.get(part)
-        if form is None:
-            form = self.seen.get(part)
-            if form is None:
-                if len(self.seen) > 50_000:
-                    self.seen.clear()
-                form = self.seen[part] = _cluster(part)
-        return form
-
     def apply(self, text: str) -> str:
-        return text if text.isascii() else self.scanner.sub(self._rewrite, text)
+        """``text`` rewritten; a run of characters that take part is taken with the base it joins on to."""
+        if text.isascii():
+            return text
+        out, last, seen, joining = [], 0, self.seen, self.joining
+        for found in self.scanner.finditer(text):
+            start, end = found.span()
+            if start > last and text[start] in joining and text[start - 1] != "\n":
+                start -= 1
+            part = text[start:end]
+            form = seen.get(part)
+            if form is None:
+                form = _cluster(part)
+                if len(part) <= 12:
+                    if len(seen) >= 50_000:
+                        seen.clear()
+                    seen[part] = form
+            out.append(text[last:start])
+            out.append(form)
+            last = end
+        if not last:
+            return text
+        out.append(text[last:])
+        return "".join(out)
 
 
 def check(table: dict[str, str]) -> None:
