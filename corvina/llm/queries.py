@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import bpe, canonical, packing, site_lines
+from corvina.llm import analysis, bpe, canonical, packing, prose, residue, site_lines
 from corvina.llm.pages import texts_by_url
-from corvina.session import ship, table
+from corvina.session import ship, stage, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,50 @@ def p1_canonical_texts(spark: SparkSession, d: str) -> DataFrame:
     return texts_by_url(table(spark, d, "document_search")).select("url", canonical.canonical_column(F.col("text")).alias("text"))
 
 
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "url")
+
+
+def _analysed(spark: SparkSession, d: str) -> DataFrame:
+    """Every page analysed, with the posterior of prose; staged, as its counts and its rows are both read."""
+    search = texts_by_url(table(spark, d, "document_search"))
+    pages = stage(analysis.analyse(search, table(spark, d, "documents"), table(spark, d, "common_words")), "pages")
+    return prose.posteriors(pages)
+
+
+#: Pages whose posterior of prose is below this are no prose.
+NO_PROSE = 0.5
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines outside the main body, of pages that are neither residue nor without prose."""
+    pages = _analysed(spark, d).where(f"NOT residue AND NOT coalesce(prose < {NO_PROSE}, false)")
+    lines = pages.select("url", F.explode(F.col("furniture").cast("array<bigint>")).alias("line_no"))
+    return lines.join(_ids(spark, d), "url").select("doc_id", "line_no").distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and titles that hold what a site's machinery left or said in place of content."""
+    ship(spark)
+    search = texts_by_url(table(spark, d, "document_search"))
+    pages = analysis.analyse(search, table(spark, d, "documents"), table(spark, d, "common_words"))
+    texts = pages.where("residue").join(_ids(spark, d), "url").select("doc_id", F.lit("text").alias("field"))
+    bad = F.pandas_udf(lambda titles: titles.map(residue.bad_title).astype(bool), "boolean")
+    titles = table(spark, d, "documents").select("doc_id", "title").where(bad("title")).select("doc_id", F.lit("title").alias("field"))
+    return texts.unionByName(titles).distinct()
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose main body is mostly not natural prose."""
+    pages = _analysed(spark, d).where(f"NOT residue AND prose < {NO_PROSE}")
+    return pages.join(_ids(spark, d), "url").select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Word count, mean word length, symbol ratio, lines ending in punctuation and common words of every text."""
+    return prose.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every occurrence of a line repeated within its site."""
     documents = table(spark, d, "documents")
@@ -59,7 +103,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_canonical_titles, p1_canonical_texts, p3_found, p3_clean_texts, p8_ids, p9_containers)
+    f.__name__: f for f in (p1_found, p1_canonical_titles, p1_canonical_texts, p2_found, p7_found, p10_found, p10_statistics, p3_found, p3_clean_texts, p8_ids, p9_containers)
 }
 
 _SITE = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)', 1)"
