@@ -14,6 +14,8 @@ from corvina.llm.layout import Line, ends_sentence
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]]+")
 _PRICE = re.compile(r"[€£$¥]\s?\d|\d\s?[€£]|-\d{1,2}%|★|\bin stock\b|\b[A-Z]{2,4}-\d{3,}\b")
+_SKU = re.compile(r"★★|\b[A-Z]{2,4}-\d{3,}\b")
+_ITEMS = re.compile(r"\s*[·|»;,、，；/・]\s*")
 _TAG = re.compile(r"#\w+")
 _BULLET = re.compile(r"^(?:[-*+•◦▪‣]|\(?\d{1,3}[.)])\s+")
 _CELLS = re.compile(r"\S(?:\s\|\s|\t|\s{3,})\S")
@@ -22,7 +24,7 @@ _WORD = re.compile(r"[ァ-ヺー]+|[ぁ-ゖ]+|[㐀-鿿]+|[^\W\d_ぁ-ゖァ-ヺ
 _INLINE = re.compile(r"(?<!\])\(\s*(?:https?://|www\.)[^)]*\)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _KANA = re.compile(r"[ぁ-ゖ]")
-_STOP = re.compile(r"[.!?。！？]+[\"'”’»」』)）]*")
+_STOP = re.compile(r"[.!?]+[\"'”’»)]*(?=\s|$)|[。！？]+[”’」』)）]*")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—…“”‘’«»„‚。，、；：！？「」『』（）·・¿¡]")
 _MOJIBAKE = re.compile(r"[ÃÂÐÑâï¿½€œ™¤§©¶°¼»]")
 
@@ -139,10 +141,14 @@ def _kind(unit: Unit, dominant: set[str], common: frozenset[str]) -> int:
     tags = _TAG.findall(text) if "#" in text else ()
     if len(tags) >= 3 and sum(map(len, tags)) * 2 > size:
         return KEYWORDS
+    if not ended and text[0] != "|" and not _DIGIT.search(text):
+        items = _ITEMS.split(text.strip(" ·|»"))
+        if len(items) >= 6 and size / len(items) <= (28 if spaced else 14):
+            return KEYWORDS
     odd = len(_SYMBOL.findall(text))
     price = _PRICE.search(text) is not None
     if size >= 8 and odd > 0.2 * size or len(_MOJIBAKE.findall(text)) > 0.3 * size:
-        return PRODUCTS if price and odd < 0.3 * size else JUNK
+        return PRODUCTS if _SKU.search(text) and odd < 0.3 * size else JUNK
     if spaced and not hangul and size > 45 and max(map(len, text.split())) > 45 and "://" not in text:
         return JUNK
     if price and not ended:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import analysis, bpe, canonical, packing, prose, residue, site_lines
+from corvina.llm import analysis, bpe, canonical, language, packing, prose, residue, site_lines, stuffing
 from corvina.llm.pages import texts_by_url
 from corvina.session import ship, stage, table
 
@@ -58,6 +58,36 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(_ids(spark, d), "url").select("doc_id", "line_no").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose main body is mostly stuffed keywords, lists of links or product and tag listings."""
+    search = texts_by_url(table(spark, d, "document_search"))
+    pages = stuffing.stuffed_pages(search, table(spark, d, "documents"), table(spark, d, "common_words"))
+    return pages.join(_ids(spark, d), "url").select("doc_id").distinct()
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    search = texts_by_url(table(spark, d, "document_search"))
+    pages = language.languages(search, table(spark, d, "documents"), table(spark, d, "common_words"))
+    return prose.posteriors(stage(pages, "languages"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a missing or wrong language label, and lines in another language than the rest of their text."""
+    labels = table(spark, d, "documents").select("doc_id", "url", "language")
+    pages = _languages(spark, d).where(f"lang IS NOT NULL AND NOT residue AND NOT coalesce(prose < {NO_PROSE}, false)").join(labels, "url")
+    wrong = F.coalesce(F.lower(F.substring(F.trim("language"), 1, 2)) != F.col("lang"), F.lit(True))
+    documents = pages.where(wrong).select("doc_id", F.lit(0).cast("long").alias("line_no"), "lang")
+    lines = pages.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.line_no", "s.lang")
+    return documents.unionByName(lines).distinct()
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its language and confidence (line_no 0), and every segment in another language."""
+    pages = _languages(spark, d).join(_ids(spark, d), "url")
+    whole = pages.select("doc_id", F.lit(0).cast("long").alias("line_no"), "lang", "confidence")
+    return whole.unionByName(pages.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.line_no", "s.lang", "s.confidence"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts and titles that hold what a site's machinery left or said in place of content."""
     ship(spark)
@@ -103,7 +133,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_canonical_titles, p1_canonical_texts, p2_found, p7_found, p10_found, p10_statistics, p3_found, p3_clean_texts, p8_ids, p9_containers)
+    f.__name__: f for f in (p1_found, p1_canonical_titles, p1_canonical_texts, p2_found, p4_found, p5_found, p5_languages, p7_found, p10_found, p10_statistics, p3_found, p3_clean_texts, p8_ids, p9_containers)
 }
 
 _SITE = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)', 1)"

@@ -64,7 +64,7 @@ _ERROR = re.compile(
     r"|접근 권한이 없|アクセスが拒否|アクセス権がありません|无权访问|拒绝访问|没有权限|internal server error|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|upstream (?:sent|timed)|database connection|too many requests"
     r"|account has been suspended|session has expired|contact your hosting|down for maintenance|unavailable due to maintenance|checking your browser|verify(?:ing)? (?:that )?you are (?:a )?human|are you a robot|vorübergehend nicht erreichbar|wartungsarbeiten"
     r"|no disponible por mantenimiento|en maintenance|indisponible|em manutenção|indisponível|점검 중입니다|メンテナンス中|维护中|暂时无法|服务不可用|traceback \(most recent call last\)|^\s*file \".{1,60}\", line \d+|\bat [\w.$]+\([\w.]+:\d+\)|(?:fatal|parse|uncaught|type|key|value|name|attribute|syntax|runtime|index)\s?error\b"
-    r"|exception in thread|stack trace|request id [0-9a-f]{6,}|^ray (?:id )?[0-9a-f]{6,}|kennung [0-9a-f]{6,}|요청 번호 [0-9a-f]{6,}|the page you (?:are looking for|requested)|go back to the (?:start|home) ?page|it may have been moved or deleted|请求(?:编号|过于频繁)|リクエスト(?:番号|が多すぎ)",
+    r"|\b(?:warning|notice|deprecated): .{0,80}(?:undefined|\bon line \d)|exception in thread|stack trace|request id [0-9a-f]{6,}|^ray (?:id )?[0-9a-f]{6,}|kennung [0-9a-f]{6,}|요청 번호 [0-9a-f]{6,}|the page you (?:are looking for|requested)|go back to the (?:start|home) ?page|it may have been moved or deleted|请求(?:编号|过于频繁)|リクエスト(?:番号|が多すぎ)",
     re.I,
 )
 
