@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import ahocorasick
+
 from corvina.llm.canonical import transducer
 
 _NAME = r"[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z][A-Za-z0-9_]*)*"
@@ -63,11 +65,23 @@ _ERROR = re.compile(
     r"|見つかりませんでした|ページが見つかりません|찾을 수 없습니다|找不到(?:您)?(?:访问)?的?页面|页面不存在|\baccess denied\b|\bforbidden\b|permission to (?:view|access)|zugriff verweigert|keine berechtigung|accès (?:refusé|interdit)|acceso denegado|acesso negado"
     r"|접근 권한이 없|アクセスが拒否|アクセス権がありません|无权访问|拒绝访问|没有权限|internal server error|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|upstream (?:sent|timed)|database connection|too many requests"
     r"|account has been suspended|session has expired|contact your hosting|down for maintenance|unavailable due to maintenance|checking your browser|verify(?:ing)? (?:that )?you are (?:a )?human|are you a robot|vorübergehend nicht erreichbar|wartungsarbeiten"
-    r"|no disponible por mantenimiento|en maintenance|indisponible|em manutenção|indisponível|점검 중입니다|メンテナンス中|维护中|暂时无法|服务不可用|traceback \(most recent call last\)|^\s*file \".{1,60}\", line \d+|\bat [\w.$]+\([\w.]+:\d+\)|(?:fatal|parse|uncaught|type|key|value|name|attribute|syntax|runtime|index)\s?error\b"
+    r"|no disponible por mantenimiento|en maintenance|indisponible|em manutenção|indisponível|점검 중입니다|メンテナンス中|维护中|暂时无法|服务不可用|traceback \(most recent call last\)|^\s*file \".{1,60}\", line \d+|(?:fatal|parse|uncaught|type|key|value|name|attribute|syntax|runtime|index)\s?error\b"
     r"|\b(?:warning|notice|deprecated): .{0,80}(?:undefined|\bon line \d)|exception in thread|stack trace|request id [0-9a-f]{6,}|^ray (?:id )?[0-9a-f]{6,}|kennung [0-9a-f]{6,}|요청 번호 [0-9a-f]{6,}|the page you (?:are looking for|requested)|go back to the (?:start|home) ?page|it may have been moved or deleted|请求(?:编号|过于频繁)|リクエスト(?:番号|が多すぎ)",
     re.I,
 )
 
+# Any match of _ERROR contains one of these; a text without them needs no closer look.
+_HINTS = (
+    "err|fehler|not found|found on this server|find the page|introuvable|n'existe pas|encontrada|no existe|encontró|gefunden|見つかり|찾을 수|找不到|不存在|denied|forbidden|permission|verweigert|berechtigung|refusé|interdit|denegado|negado"
+    "|접근 권한|アクセス|无权|拒绝|没有权限|internal server|gateway|unavailable|upstream|database connection|too many requests|suspended|expired|your hosting|maintenance|mantenimiento|checking your browser|verify|robot|erreichbar|wartung"
+    "|indisponible|manutenção|indisponível|점검|メンテナンス|维护|暂时|服务不可用|traceback|file \"|exception|stack trace|request id|ray |kennung|요청 번호|page you|home page|start page|homepage|startpage|moved or deleted|请求|リクエスト"
+    "|warning:|notice:|deprecated:|오류|エラー|错误|お探し"
+).split("|")
+_HINTED = ahocorasick.Automaton()
+for _hint in _HINTS:
+    _HINTED.add_word(_hint, True)
+_HINTED.make_automaton()
+
 _SCRIPT = re.compile(
     r"(?:enable|turn on|activate|need(?:s)?|requires?|without|allow) (?:to )?(?:enable |activate )?(?:java)?scripts?\b|\bscripts? (?:is |are )?(?:required|disabled|on and reload)|does not (?:run|support) scripts?|some features of this page need javascript|javascript (?:aktivieren|para ver|to (?:view|run)|is (?:required|disabled))"
     r"|aktivieren sie javascript|benötigen javascript|activer javascript|demandent javascript|active javascript|necesitan javascript|ative o javascript|precisam de javascript|javascriptを有効|javascriptが必要|自?바?스?크?립?트를 켜|자바스크립트(?:를 켜|가 필요|를 사용)|启用javascript|需要(?:启用)?javascript",
@@ -112,9 +126,13 @@ def bad_title(title: str | None) -> bool:
     return _BAD_TITLE.match(head) is not None and len(head) <= 60
 
 
+def _scripts(text: str) -> bool:
+    return "cript" in text or "CRIPT" in text or "스크립트" in text
+
+
 def is_notice(line: str) -> bool:
     """Whether a line only says that scripts are needed."""
-    return len(line) <= 140 and _SCRIPT.search(line) is not None and len(_SCRIPT.sub("", line).split()) <= 12
+    return len(line) <= 140 and _scripts(line) and _SCRIPT.search(line) is not None and len(_SCRIPT.sub("", line).split()) <= 12
 
 
 def replaced(parts: Sequence[str]) -> bool:
@@ -135,10 +153,13 @@ def replaced(parts: Sequence[str]) -> bool:
 
 
 def _residue(part: str, filler: bool) -> bool:
-    if _EMPTY_VALUE.search(part) and sum(map(len, _EMPTY_VALUE.findall(part))) * 2 > len(part):
-        return True
-    if len(part) <= 260 and (_FILLER.match(part) or _ERROR.search(part) or _SCRIPT.search(part)):
+    if any(v in part for v in ("undefined", "null", "NaN", "None", "nil", "[object", "N/A")) and sum(map(len, _EMPTY_VALUE.findall(part))) * 2 > len(part):
         return True
+    if len(part) <= 260:
+        if next(_HINTED.iter(part.lower()), None) is not None and _ERROR.search(part) or _scripts(part) and _SCRIPT.search(part):
+            return True
+        if len(part) <= 110 and _FILLER.match(part):
+            return True
     if filler:
         own = re.findall(r"[^\W\d_]+", part.lower())
         return bool(own) and not any(w in _FUNCTION for w in own)
