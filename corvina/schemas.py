@@ -1,0 +1,28 @@
+"""Schemas of the engine's tables."""
+
+from __future__ import annotations
+
+PAGES = "url string, html string, content_type string, x_robots_tag string, etag string, last_modified string"
+
+DOCUMENTS = (
+    "doc_id bigint, url string, canonical_url string, title string, text string, text_hash string, indexed_at string, quality_score double, language string, document_type string, etag string, last_modified string,"
+    " lang string, source string, n_chars bigint"
+)
+
+LINKS = "source_url string, target_url string"
+
+FRONTIER = (
+    "job_id string, url string, state string, attempts bigint, host string, depth bigint, available_at bigint, discovered_at string, last_error string, failure_type string, last_failed_at string,"
+    " lease_owner string, lease_expires_at bigint, heartbeat_at string"
+)
+
+POLICY = "struct<max_depth: int, request_interval_ms: int, include_patterns: array<string>, exclude_patterns: array<string>, allowed_content_types: array<string>>"
+
+JOBS = (
+    "id string, seed_url string, max_pages bigint, allowed_hosts array<string>, status string, indexed bigint, skipped bigint, failed bigint, error string, skip_reasons map<string, bigint>, recrawl_minutes bigint,"
+    f" next_recrawl_at bigint, created_at string, updated_at string, crawl_policy {POLICY}"
+)
+
+NOTES = "id bigint, quote string, body string, source_url string, source_title string, created_at string"
+
+REQUESTS = "client string, ts_ms bigint, request_id bigint"
