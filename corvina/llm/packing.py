@@ -104,6 +104,8 @@ def assign(sizes: Sequence[int], capacity: int, start: int) -> tuple[list[int],
 
 def pack(items: Sequence[tuple[int, int, int]], capacity: int) -> list[int]:
     """Container number of each (size, id, part), all sizes within ``capacity``; numbers are dense from 0."""
+    if not items:
+        return []
     order = sorted(range(len(items)), key=lambda i: (-items[i][0], items[i][1], items[i][2]))
     sizes = [items[i][0] for i in order]
     least = max(1, -(-sum(sizes) // capacity))

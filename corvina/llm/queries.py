@@ -47,13 +47,13 @@ def _analysed(spark: SparkSession, d: str) -> DataFrame:
     return prose.posteriors(pages)
 
 
-#: Pages whose posterior of prose is below this are no prose.
-NO_PROSE = 0.5
+#: Bodies whose posterior of prose is below this, and (the exact check, the first vote) whose prose makes up no more than half of the characters.
+NO_PROSE = "(coalesce(prose < 0.5, false) AND substring(votes, 1, 1) = '-')"
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines outside the main body, of pages that are neither residue nor without prose."""
-    pages = _analysed(spark, d).where(f"NOT residue AND NOT coalesce(prose < {NO_PROSE}, false)")
+    pages = _analysed(spark, d).where(f"NOT residue AND NOT {NO_PROSE}")
     lines = pages.select("url", F.explode(F.col("furniture").cast("array<bigint>")).alias("line_no"))
     return lines.join(_ids(spark, d), "url").select("doc_id", "line_no").distinct()
 
@@ -74,7 +74,7 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a missing or wrong language label, and lines in another language than the rest of their text."""
     labels = table(spark, d, "documents").select("doc_id", "url", "language")
-    pages = _languages(spark, d).where(f"lang IS NOT NULL AND NOT residue AND NOT coalesce(prose < {NO_PROSE}, false)").join(labels, "url")
+    pages = _languages(spark, d).where(f"lang IS NOT NULL AND NOT residue AND NOT {NO_PROSE}").join(labels, "url")
     wrong = F.coalesce(F.lower(F.substring(F.trim("language"), 1, 2)) != F.col("lang"), F.lit(True))
     documents = pages.where(wrong).select("doc_id", F.lit(0).cast("long").alias("line_no"), "lang")
     lines = pages.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.line_no", "s.lang")
@@ -101,7 +101,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose main body is mostly not natural prose."""
-    pages = _analysed(spark, d).where(f"NOT residue AND prose < {NO_PROSE}")
+    pages = _analysed(spark, d).where(f"NOT residue AND {NO_PROSE}")
     return pages.join(_ids(spark, d), "url").select("doc_id").distinct()
 
 
