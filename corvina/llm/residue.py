@@ -61,7 +61,7 @@ _EMPTY_VALUE = re.compile(r"\b(?:undefined|null|NaN|None|nil)\b|\[object Object\
 # What servers and gateways say, in the languages of the corpus.
 _ERROR = re.compile(
     r"\b(?:error|fehler|erreur|erro|err)\b.{0,3}\s?[45]\d\d\b|\b[45]\d\d\b.{0,4}(?:error|not found|bad gateway|forbidden|internal server|service unavailable|오류|エラー|错误|お探し|找不到)"
-    r"|\bpage not found\b|could not be found on this server|can't find the page|page .{0,80}(?:est introuvable|n'existe pas)|página .{0,80}(?:não foi encontrada|no existe)|no se encontró la página|seite (?:wurde )?nicht gefunden"
+    r"|\bpage not found\b|could not be found on this server|can't find the page|page .{0,80}(?:est introuvable|n'existe pas)|page n'existe (?:pas|plus)|page a été (?:déplacée|supprimée)|seite (?:existiert nicht|wurde (?:verschoben|gelöscht))|página (?:ya no existe|já não existe|ha sido (?:movida|eliminada)|foi (?:movida|removida))|ページは(?:移動|削除)|페이지가 (?:이동|삭제)|页面已(?:被)?(?:移动|删除)|página .{0,80}(?:não foi encontrada|no existe)|no se encontró la página|seite (?:wurde )?nicht gefunden"
     r"|見つかりませんでした|ページが見つかりません|찾을 수 없습니다|找不到(?:您)?(?:访问)?的?页面|页面不存在|\baccess denied\b|\bforbidden\b|permission to (?:view|access)|zugriff verweigert|keine berechtigung|accès (?:refusé|interdit)|acceso denegado|acesso negado"
     r"|접근 권한이 없|アクセスが拒否|アクセス権がありません|无权访问|拒绝访问|没有权限|internal server error|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|upstream (?:sent|timed)|database connection|too many requests"
     r"|account has been suspended|session has expired|contact your hosting|down for maintenance|unavailable due to maintenance|checking your browser|verify(?:ing)? (?:that )?you are (?:a )?human|are you a robot|vorübergehend nicht erreichbar|wartungsarbeiten"
@@ -72,7 +72,7 @@ _ERROR = re.compile(
 
 # Any match of _ERROR contains one of these; a text without them needs no closer look.
 _HINTS = (
-    "err|fehler|not found|found on this server|find the page|introuvable|n'existe pas|encontrada|no existe|encontró|gefunden|見つかり|찾을 수|找不到|不存在|denied|forbidden|permission|verweigert|berechtigung|refusé|interdit|denegado|negado"
+    "err|fehler|not found|found on this server|find the page|introuvable|n'existe p|a été déplac|a été supprim|existiert nicht|wurde verschoben|wurde gelöscht|já não existe|ha sido |foi movida|foi removida|移動|削除|페이지가|页面已|encontrada|no existe|encontró|gefunden|見つかり|찾을 수|找不到|不存在|denied|forbidden|permission|verweigert|berechtigung|refusé|interdit|denegado|negado"
     "|접근 권한|アクセス|无权|拒绝|没有权限|internal server|gateway|unavailable|upstream|database connection|too many requests|suspended|expired|your hosting|maintenance|mantenimiento|checking your browser|verify|robot|erreichbar|wartung"
     "|indisponible|manutenção|indisponível|점검|メンテナンス|维护|暂时|服务不可用|traceback|file \"|exception|stack trace|request id|ray |kennung|요청 번호|page you|home page|start page|homepage|startpage|moved or deleted|请求|リクエスト"
     "|warning:|notice:|deprecated:|오류|エラー|错误|お探し"
