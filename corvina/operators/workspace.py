@@ -33,8 +33,9 @@ def merged(sources: list[DataFrame], key: str, most: int) -> DataFrame:
 def import_notes(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Notes of a batch that aren't there yet by (source_url, quote, body), each once."""
     keys = ["source_url", "quote", "body"]
-    match = [F.coalesce(batch[k], F.lit("")) == F.coalesce(existing[k], F.lit("")) for k in keys]
-    return batch.join(existing, reduce(lambda a, b: a & b, match), "left_anti").dropDuplicates(keys)
+    known = existing.select(*[F.coalesce(k, F.lit("")).alias(f"known_{k}") for k in keys]).distinct()
+    match = reduce(lambda a, b: a & b, [F.coalesce(F.col(k), F.lit("")) == F.col(f"known_{k}") for k in keys])
+    return batch.join(known, match, "left_anti").dropDuplicates(keys)
 
 
 def with_tags(notes: DataFrame, tags: DataFrame, most: int = 12) -> DataFrame:

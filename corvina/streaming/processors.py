@@ -14,10 +14,11 @@ from corvina.session import cut
 _DECISIONS = "client string, ts_ms long, request_id long, allowed boolean, retry_after_s long"
 
 
-def limited(requests: DataFrame, limit: int = 120, window_ms: int = 60_000) -> DataFrame:
+def limited(requests: DataFrame, limit: int = 120, window_ms: int = 60_000, *, evict: bool = True) -> DataFrame:
     """Decisions on a stream of (client, ts_ms, request_id), windows anchored at a client's first request.
 
-    State is one window per client and is dropped when a client has been silent for a window (processing time).
+    State is one window per client; with ``evict`` it is dropped when a client has been silent for a window (processing
+    time), for which the query keeps running batches: leave it off with an availableNow trigger.
     """
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,9 +37,11 @@ def limited(requests: DataFrame, limit: int = 120, window_ms: int = 60_000) -> D
                 wait.append(0 if used <= limit else -((t - start - window_ms) // 1000))
             yield pd.DataFrame({"client": key[0], "ts_ms": frame["ts_ms"], "request_id": frame["request_id"], "allowed": allowed, "retry_after_s": wait})
         state.update((start, used))
-        state.setTimeoutDuration(window_ms)
+        if evict:
+            state.setTimeoutDuration(window_ms)
 
-    return requests.groupBy("client").applyInPandasWithState(run, _DECISIONS, "start long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout
+    return requests.groupBy("client").applyInPandasWithState(run, _DECISIONS, "start long, used long", "append", kind)
 
 
 _LEASES = "job_id string, url string, ts_ms long, worker string, action string, granted boolean, attempts long"

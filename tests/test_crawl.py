@@ -1,4 +1,5 @@
 import time
+import uuid
 
 import pandas as pd
 
@@ -115,20 +116,20 @@ def test_signed_events(spark):
 
 def stream(spark, tmp_path, schema, batches, transform):
     """Outputs of a stream fed with one file per batch."""
-    source = tmp_path / "in"
+    source, name = tmp_path / "in", "out_" + uuid.uuid4().hex[:8]
     source.mkdir()
     for i, batch in enumerate(batches):
         pd.DataFrame(batch).to_json(source / f"{i}.json", orient="records", lines=True)
         time.sleep(0.02)
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    query = transform(read).writeStream.format("memory").queryName("out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    return spark.table("out")
+    query = transform(read).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
+    return spark.table(name)
 
 
 def test_stream_rate_limit(spark, tmp_path):
     batches = [[{"client": "a", "ts_ms": t, "request_id": t} for t in (0, 10)], [{"client": "a", "ts_ms": t, "request_id": t} for t in (20, 1000)]]
-    out = stream(spark, tmp_path, "client string, ts_ms long, request_id long", batches, lambda s: processors.limited(s, 2, 1000))
+    out = stream(spark, tmp_path, "client string, ts_ms long, request_id long", batches, lambda s: processors.limited(s, 2, 1000, evict=False))
     assert rows(out, "ts_ms", "allowed", "retry_after_s") == [(0, True, 0), (10, True, 0), (1000, True, 0), (20, False, 1)]
 
 
