@@ -43,14 +43,14 @@ def tree_aggregate(
     """Per-key ``measures`` (name -> (``sum`` | ``min`` | ``max``, expression)), merged in a tree.
 
     A null key is a key of its own, as in GROUP BY; an empty table gives no rows; measures over nulls only are null.
-    The number of rounds is the logarithm of the number of chunks to the base ``fan_in``: with ``levels`` not given
-    it is derived from the number of input partitions (a property of the plan, no job is run), and at least one.
-    Chunk numbers depend only on a row's place in its partition, so a task that is run again builds the same states.
+    The number of rounds is a logarithm to the base ``fan_in``: with ``levels`` not given, of the session's shuffle
+    partitions, so that the first round can use all of them for a single key.  No job is run to plan it.  Chunk numbers
+    depend only on a row's place in its partition, so a task that is run again builds the same states.
     """
     part, slot = _free(df, "chunk_part", "chunk_slot")
     if levels is None:
         levels, reach = 1, fan_in
-        while reach < max(1, df.rdd.getNumPartitions()):
+        while reach < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
             levels, reach = levels + 1, reach * fan_in
     row_id = F.monotonically_increasing_id()
     chunked = df.select(

@@ -150,4 +150,5 @@ def test_stream_index(spark, tmp_path):
     schema = "url string, canonical_url string, text_hash string, indexed_at string, outbound_links array<string>"
     for i, batch in enumerate([[("a", None, "h", "1", ["b"])], [("b", None, "h", "2", []), ("c", None, "k", "2", ["a"])]]):
         handle(spark.createDataFrame(batch, schema), i)
-    assert rows(held["d"], "url") == [("a",), ("c",)] and rows(held["l"], "source_url", "target_url") == [("a", "b"), ("c", "a")] or rows(held["l"]) == [("c", "a")]
+    assert rows(held["d"], "url") == [("a",), ("c",)]
+    assert rows(held["l"], "source_url", "target_url") == [("c", "a")]  # b turned out to be a copy of a: links to it are gone
