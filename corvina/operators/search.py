@@ -39,7 +39,7 @@ def postings(documents: DataFrame) -> DataFrame:
 
 def document_lengths(documents: DataFrame) -> DataFrame:
     """(url, length): tokens of title and text."""
-    return documents.select("url", reduce(Column.__add__, [F.size(tx.tokens(F.col(c))) for c in COLUMNS]).cast("long").alias("length"))
+    return documents.select("url", reduce(Column.__add__, [tx.token_count(F.col(c)) for c in COLUMNS]).alias("length"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
