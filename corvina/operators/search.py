@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from corvina.functions import text as tx
 from corvina.functions.urls import host
 from corvina.operators import querylang as ql
+from corvina.session import stage
 
 K1, B = 1.2, 0.75
 
@@ -118,31 +119,64 @@ def _slots(posts: DataFrame, tree: object) -> DataFrame:
     return slots.groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("slot", "positions"))).alias("slots"))
 
 
-def hits(posts: DataFrame, lengths: DataFrame, query: str | object, weights: Sequence[float] = (8.0, 1.0)) -> DataFrame:
-    """(url, bm25) of the documents that match a query; higher is better.
-
-    The frequency of a phrase is the weighted sum of its occurrences in title and text; a repeated term counts as often
-    as it is written.  Document frequencies, the number of documents and the mean length cover the whole corpus.
-    """
-    tree = ql.parse(query) if isinstance(query, str) else query
-    found = ql.phrases(tree)
-    base = _slots(posts, tree)
-    counts = [[F.size(_starts(p, f)) for f in COLUMNS] for p in found]
-    measured = base.select(
-        "url",
+def _measures(tree: object, weights: Sequence[float]) -> list[Column]:
+    """Whether a document given its slots matches, and per phrase its weighted frequency and whether it occurs at all."""
+    counts = [[F.size(_starts(p, f)) for f in COLUMNS] for p in ql.phrases(tree)]
+    return [
         _matches(tree).alias("is_match"),
         *[sum((w * c for w, c in zip(weights, cs)), F.lit(0.0)).alias(f"f{i}") for i, cs in enumerate(counts)],
         *[reduce(Column.__or__, [c > 0 for c in cs]).alias(f"h{i}") for i, cs in enumerate(counts)],
-    )
-    frequencies = measured.agg(*[F.count(F.when(F.col(f"h{i}"), 1)).alias(f"n{i}") for i in range(len(found))], F.lit(1).alias("one"))
-    scored = measured.where("is_match").join(lengths, "url").crossJoin(F.broadcast(corpus_stats(lengths))).crossJoin(F.broadcast(frequencies))  # one row each
+    ]
+
+
+def _scored(matching: DataFrame, statistics: DataFrame, phrases: int) -> DataFrame:
+    """(url, bm25) of ``matching`` (url, length, f0, ...) by one row of statistics (n, avgdl, n0, ...)."""
+    rows = matching.crossJoin(F.broadcast(statistics))  # one row
     terms = []
-    for i in range(len(found)):
+    for i in range(phrases):
         idf = F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         f = F.col(f"f{i}")
         terms.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("avgdl"))))
-    return scored.select("url", F.round(sum(terms, F.lit(0.0)), 9).alias("bm25"))
+    return rows.select("url", F.round(sum(terms, F.lit(0.0)), 9).alias("bm25"))
+
+
+def hits(posts: DataFrame, lengths: DataFrame, query: str | object, weights: Sequence[float] = (8.0, 1.0)) -> DataFrame:
+    """(url, bm25) of the documents that match a query; higher is better.
+
+    The frequency of a phrase is the weighted sum of its occurrences in title and text; a repeated term counts as often
+    as it is written.  Document frequencies, the number of documents and the mean length cover the whole corpus.
+    """
+    tree = ql.parse(query) if isinstance(query, str) else query
+    phrases = len(ql.phrases(tree))
+    measured = _slots(posts, tree).select("url", *_measures(tree, weights))
+    found = measured.agg(*[F.count(F.when(F.col(f"h{i}"), 1)).alias(f"n{i}") for i in range(phrases)], F.lit(1).alias("one"))
+    statistics = corpus_stats(lengths).crossJoin(found)  # one row each
+    return _scored(measured.where("is_match").join(lengths, "url"), statistics, phrases)
+
+
+def hits_by_scan(documents: DataFrame, query: str | object, weights: Sequence[float] = (8.0, 1.0)) -> DataFrame:
+    """As ``hits``, from (url, title, text) without an index: the texts are read and tokenized once.
+
+    What is left of each document (a flag, a length, a few numbers) is staged; statistics and scores come from that.
+    """
+    tree = ql.parse(query) if isinstance(query, str) else query
+    phrases = len(ql.phrases(tree))
+    wanted = sorted(ql.terms(tree))
+
+    def positions(column: str, token: str, prefix: bool) -> Column:
+        here = F.transform(F.col(column), lambda x, i: F.when(x.startswith(token) if prefix else x == token, i))
+        return F.filter(here, lambda p: p.isNotNull())
+
+    arrays = documents.select("url", *[tx.tokens(F.col(c)).alias(f"{c}_tokens") for c in COLUMNS])
+    pairs = [x for c in COLUMNS for t, prefix in wanted for x in (F.lit(_slot(t, prefix, c)), positions(f"{c}_tokens", t, prefix))]
+    slots = F.create_map(*pairs) if pairs else F.create_map().cast("map<string, array<int>>")
+    length = reduce(Column.__add__, [F.size(f"{c}_tokens") for c in COLUMNS]).cast("long")
+    based = arrays.select("url", length.alias("length"), slots.alias("slots"))
+    measured = stage(based.select("url", "length", *_measures(tree, weights)), "measured")
+    found = [F.count(F.when(F.col(f"h{i}"), 1)).alias(f"n{i}") for i in range(phrases)]
+    statistics = measured.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), *found)
+    return _scored(measured.where("is_match"), statistics, phrases)
 
 
 def authority(links: DataFrame, documents: DataFrame) -> DataFrame:

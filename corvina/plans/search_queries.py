@@ -23,8 +23,13 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str, query: str, weights: tuple[float, float] = (8.0, 1.0)) -> DataFrame:
+    return search.hits_by_scan(corpus(spark, d), query, weights)
+
+
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """A query over the postings instead of the texts."""
     docs = corpus(spark, d)
-    return search.hits(search.postings(docs), search.document_lengths(docs), query, weights)
+    return search.hits(search.postings(docs), search.document_lengths(docs), '"side by side" OR orchard').select("url")
 
 
 def _ranked(spark: SparkSession, d: str, query: str, filters: Filters = Filters()) -> DataFrame:
@@ -106,7 +111,7 @@ def facet_dates(spark: SparkSession, d: str) -> DataFrame:
 def fallback_search(spark: SparkSession, d: str) -> DataFrame:
     """A Korean term that only occurs with endings: found by the n-grams of its stem."""
     docs = corpus(spark, d)
-    primary = search.hits(search.postings(docs), search.document_lengths(docs), "도서관으로부터")
+    primary = search.hits_by_scan(docs, "도서관으로부터")
     return search.with_fallback(primary, search.token_table(docs), "도서관으로부터").select("url")
 
 
@@ -182,7 +187,7 @@ def page_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ranked_search, bm25_and_search, bm25_unweighted, boolean_or_not, phrase_search, near_search, initial_token, prefix_and_column, search_newest_page2, search_filtered, search_domain,
+        ranked_search, indexed_search, bm25_and_search, bm25_unweighted, boolean_or_not, phrase_search, near_search, initial_token, prefix_and_column, search_newest_page2, search_filtered, search_domain,
         search_count, facet_domains, facet_dates, fallback_search, suggestions_prefix, snippet_top20, term_statistics, token_index, content_hash_dedupe, duplicate_pages, capped_authority,
         out_degree, quality_scores, detect_script, canonical_urls, public_targets, page_statistics,
     )
@@ -228,6 +233,7 @@ _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(
 
 ORACLE: dict[str, str] = {
     "ranked_search": _combined(("orchard", "bridge"), "orchard") + " SELECT url, title, indexed_at, score FROM ranked ORDER BY score DESC, indexed_at DESC, url LIMIT 20",
+    "indexed_search": f"WITH {_CORPUS} SELECT url FROM toks WHERE list_contains(list_concat(a, b), 'orchard') OR len(list_filter(range(1, len(a) - 1), lambda i: a[i] = 'side' AND a[i + 1] = 'by' AND a[i + 2] = 'side')) > 0 OR len(list_filter(range(1, len(b) - 1), lambda i: b[i] = 'side' AND b[i + 1] = 'by' AND b[i + 2] = 'side')) > 0",
     "bm25_and_search": _bm25("orchard", "bridge") + " SELECT url, round(bm25, 6) AS bm25 FROM scored WHERE matched = 2",
     "bm25_unweighted": _bm25("furnace", "quarry", wa=1) + " SELECT url, round(bm25, 6) AS bm25 FROM scored WHERE matched >= 1",
     "boolean_or_not": f"WITH {_CORPUS} SELECT url FROM toks WHERE list_contains(list_concat(a, b), 'harbour') OR (list_contains(list_concat(a, b), 'furnace') AND NOT list_contains(list_concat(a, b), 'bridge'))",

@@ -35,6 +35,12 @@ def test_scores(indexed, query, weights, expected):
     assert found(indexed, query, weights) == pytest.approx(expected, abs=2e-9)
 
 
+@pytest.mark.parametrize("query", ["guide", "local comet", "local OR reference", "comet NOT local", '"local search"', "^comet", "NEAR(comet search, 0)", "title:comet*", '""'])
+def test_scan_equals_index(spark, indexed, query):
+    docs = spark.createDataFrame(CORPUS, "url string, title string, text string")
+    assert {r.url: r.bm25 for r in search.hits_by_scan(docs, query).collect()} == pytest.approx(found(indexed, query))
+
+
 @pytest.mark.parametrize(
     ("query", "urls"),
     [
