@@ -53,9 +53,9 @@ def vote(parts: list[bodies.Unit], kinds: list[float], common: frozenset[str]) -
 
 
 class Page:
-    """A page read: its furniture, whether it is residue, and its main body in units."""
+    """A page read: its furniture, whether it is residue (its body replaced, or a placeholder left in), and its main body in units."""
 
-    __slots__ = ("furniture", "residue", "units", "kinds")
+    __slots__ = ("furniture", "residue", "replaced", "units", "kinds")
 
     def __init__(self, text: str, title: str | None, host: str | None, template: set[int], common: frozenset[str]) -> None:
         lines = parse(text, title, host)
@@ -69,7 +69,8 @@ class Page:
             gone_ = classify(lines, template)
             kept = bodies.paragraphs(lines, gone_)
         self.furniture = [i + 1 for i, g in enumerate(gone) if g]
-        self.residue = residue.placeholders("\n".join([x.text for x in lines])) or residue.replaced(kept)
+        self.replaced = residue.replaced(kept)
+        self.residue = self.replaced or residue.placeholders("\n".join([x.text for x in lines]))
         self.units = bodies.units(kept)
         bodies.describe(self.units, common)
         self.kinds = bodies.shares(self.units)

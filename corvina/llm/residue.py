@@ -66,7 +66,7 @@ _ERROR = re.compile(
     r"|접근 권한이 없|アクセスが拒否|アクセス権がありません|无权访问|拒绝访问|没有权限|internal server error|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|upstream (?:sent|timed)|database connection|too many requests"
     r"|account has been suspended|session has expired|contact your hosting|down for maintenance|unavailable due to maintenance|checking your browser|verify(?:ing)? (?:that )?you are (?:a )?human|are you a robot|vorübergehend nicht erreichbar|wartungsarbeiten"
     r"|no disponible por mantenimiento|en maintenance|indisponible|em manutenção|indisponível|점검 중입니다|メンテナンス中|维护中|暂时无法|服务不可用|traceback \(most recent call last\)|^\s*file \".{1,60}\", line \d+|(?:fatal|parse|uncaught|type|key|value|name|attribute|syntax|runtime|index)\s?error\b"
-    r"|\b(?:warning|notice|deprecated): .{0,80}(?:undefined|\bon line \d)|exception in thread|stack trace|request id [0-9a-f]{6,}|^ray (?:id )?[0-9a-f]{6,}|kennung [0-9a-f]{6,}|요청 번호 [0-9a-f]{6,}|the page you (?:are looking for|requested)|go back to the (?:start|home) ?page|it may have been moved or deleted|请求(?:编号|过于频繁)|リクエスト(?:番号|が多すぎ)",
+    r"|\b(?:warning|notice|deprecated): .{0,80}(?:undefined|\bon line \d)|exception in thread|stack trace|request id [0-9a-f]{6,}|^ray (?:id )?[0-9a-f]{6,}|kennung [0-9a-f]{6,}|요청 번호 [0-9a-f]{6,}|the page you (?:are looking for|requested)|something went wrong|went wrong on our|\breference [0-9a-f]{6,}|etwas ist schiefgelaufen|une erreur (?:est survenue|s'est produite)|algo (?:salió mal|deu errado)|問題が発生しました|문제가 발생했습니다|出了点问题|go back to the (?:start|home) ?page|it may have been moved or deleted|请求(?:编号|过于频繁)|リクエスト(?:番号|が多すぎ)",
     re.I,
 )
 
@@ -75,6 +75,7 @@ _HINTS = (
     "err|fehler|not found|found on this server|find the page|introuvable|n'existe p|a été déplac|a été supprim|existiert nicht|wurde verschoben|wurde gelöscht|já não existe|ha sido |foi movida|foi removida|移動|削除|페이지가|页面已|encontrada|no existe|encontró|gefunden|見つかり|찾을 수|找不到|不存在|denied|forbidden|permission|verweigert|berechtigung|refusé|interdit|denegado|negado"
     "|접근 권한|アクセス|无权|拒绝|没有权限|internal server|gateway|unavailable|upstream|database connection|too many requests|suspended|expired|your hosting|maintenance|mantenimiento|checking your browser|verify|robot|erreichbar|wartung"
     "|indisponible|manutenção|indisponível|점검|メンテナンス|维护|暂时|服务不可用|traceback|file \"|exception|stack trace|request id|ray |kennung|요청 번호|page you|home page|start page|homepage|startpage|moved or deleted|请求|リクエスト"
+    "|went wrong|reference |schiefgelaufen|algo salió|algo deu|問題が発生|문제가 발생|出了点问题"
     "|warning:|notice:|deprecated:|오류|エラー|错误|お探し"
 ).split("|")
 _HINTED = ahocorasick.Automaton()
