@@ -62,12 +62,13 @@ class Page:
         gone = classify(lines, template)
         for i, line in enumerate(lines):
             # A short notice that some features need scripts is furniture beside other content.
-            if not gone[i] and line.kind != "blank" and residue.is_notice(line.text) and not line.inner:
+            if gone[i] and line.kind in ("short", "long") and residue.is_machine_text(line.text):
+                gone[i] = False  # frequent though it is, it stands in the place of content
+            elif not gone[i] and line.kind != "blank" and residue.is_notice(line.text) and not line.inner:
                 gone[i] = True
         kept = bodies.paragraphs(lines, gone)
         if not kept:  # nothing beside notices: they are the body
-            gone_ = classify(lines, template)
-            kept = bodies.paragraphs(lines, gone_)
+            kept = [x.text for x in lines if residue.is_notice(x.text)]
         self.furniture = [i + 1 for i, g in enumerate(gone) if g]
         self.replaced = residue.replaced(kept)
         self.residue = self.replaced or residue.placeholders("\n".join([x.text for x in lines]))

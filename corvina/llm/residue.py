@@ -136,6 +136,11 @@ def is_notice(line: str) -> bool:
     return len(line) <= 140 and _scripts(line) and _SCRIPT.search(line) is not None and len(_SCRIPT.sub("", line).split()) <= 12
 
 
+def is_machine_text(line: str) -> bool:
+    """Whether a line is filler, an error message or an empty value."""
+    return len(line) <= 140 and not (_scripts(line) and _SCRIPT.search(line)) and _residue(line, False)
+
+
 def replaced(parts: Sequence[str]) -> bool:
     """Whether most of the characters of a main body, given as units, are filler, error messages or notices."""
     total = sum(map(len, parts))
