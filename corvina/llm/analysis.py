@@ -55,10 +55,11 @@ def vote(parts: list[bodies.Unit], kinds: list[float], common: frozenset[str]) -
 class Page:
     """A page read: its furniture, whether it is residue (its body replaced, or a placeholder left in), and its main body in units."""
 
-    __slots__ = ("furniture", "residue", "replaced", "units", "kinds")
+    __slots__ = ("furniture", "residue", "replaced", "units", "kinds", "forms")
 
     def __init__(self, text: str, title: str | None, host: str | None, template: set[int], common: frozenset[str]) -> None:
         lines = parse(text, title, host)
+        self.forms = [x.text for x in lines]
         gone = classify(lines, template)
         for i, line in enumerate(lines):
             # A short notice that some features need scripts is furniture beside other content.
@@ -71,7 +72,7 @@ class Page:
             kept = [x.text for x in lines if residue.is_notice(x.text)]
         self.furniture = [i + 1 for i, g in enumerate(gone) if g]
         self.replaced = residue.replaced(kept)
-        self.residue = self.replaced or residue.placeholders("\n".join([x.text for x in lines]))
+        self.residue = self.replaced or residue.placeholders("\n".join(self.forms))
         self.units = bodies.units(kept)
         bodies.describe(self.units, common)
         self.kinds = bodies.shares(self.units)

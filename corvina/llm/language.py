@@ -146,14 +146,15 @@ def train(documents: DataFrame, words: DataFrame, *, training: int = TRAINING) -
     return Profiles({x: [g for g, _ in sorted(c.items(), key=lambda y: (-y[1], y[0]))[:PROFILE]] for x, c in counts.items()})
 
 
-def segments(text: str) -> list[tuple[int, str]]:
+def segments(text: str, forms: Sequence[str] | None = None) -> list[tuple[int, str]]:
     """(line number, plain text) of every line long enough, and (0, plain text) of all shorter ones together.
 
-    Lines with too few letters to tell (tables, addresses) go with the short ones.
+    Lines with too few letters to tell (tables, addresses) go with the short ones.  ``forms`` holds the lines in
+    consistent form where they are known already.
     """
-    out, short = [], []
+    out, short, apply = [], [], transducer().apply
     for number, raw in enumerate(text.split("\n"), 1):
-        line = transducer().apply(raw)
+        line = apply(raw) if forms is None else forms[number - 1]
         form = plain(line)
         if len(form) < 4:
             continue
@@ -199,8 +200,8 @@ def judge(profiles: Profiles, pages: Iterable[tuple]) -> Iterable[tuple]:
         texts.clear()
 
     size = 0
-    for key, text in pages:
-        parts = segments(text)
+    for key, text, *forms in pages:
+        parts = segments(text, *forms)
         held.append((key, [n for n, _ in parts], [len(t) for _, t in parts]))
         texts.extend(t for _, t in parts)
         size += sum(len(t) for _, t in parts)
@@ -228,7 +229,7 @@ def languages(pages: DataFrame, documents: DataFrame, words: DataFrame, *, train
         def keyed():
             for url, page, text in read:
                 size = sum(len(u.text) for u in page.units)
-                yield (url, page.residue, size, vote(page.units, page.kinds, common)), text
+                yield (url, page.residue, size, vote(page.units, page.kinds, common)), text, page.forms
 
         rows: list[tuple] = []
         for key, lang, confidence, lines in judge(profiles, keyed()):
