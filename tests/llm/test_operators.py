@@ -191,6 +191,23 @@ def test_furniture_of_a_site(spark):
     assert frame.count() == 31
 
 
+def test_sentence_lines_rare_on_every_host_are_furniture(spark):
+    legal, copied = "Opinions are those of their authors.", "The mill stood by the river until the bridge was built."
+    data = []
+    for i, (_, title, text) in enumerate(site_pages(30)):
+        lines = text.split("\n")
+        data.append((f"https://h{i // 6}.example/{i}", title, "\n".join([*lines[:-1], legal, lines[-1]] if i % 6 == 2 else lines)))
+    last = data[0][2].split("\n")[-1]
+    data += [(f"https://h{k}.example/copy", "Copied", f"Home | Archive | Contact\n\nCopied\n\n{copied}\n\n{last}") for k in range(5)]
+    docs = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(data)], "doc_id long, url string")
+    _, sent = layout.with_template(spark.createDataFrame(data, "url string, title string, text string"), docs)
+    template = set(sent.value.tolist())
+    for url, title, text in data:
+        lines = layout.parse(text, title, url.split("/")[2])
+        gone = {line.text for line, g in zip(lines, layout.classify(lines, template)) if g}
+        assert (legal in gone) is (legal in text) and copied not in gone and not any(x.text in gone for x in lines[4:7] if x.text.startswith(("The ", "It ", "Nobody ")))
+
+
 def test_join_in_place_of_broadcast_gives_the_same(spark, monkeypatch):
     data = site_pages(20)
     docs = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(data)], "doc_id long, url string")
