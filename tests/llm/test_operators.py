@@ -221,6 +221,25 @@ def test_join_in_place_of_broadcast_gives_the_same(spark, monkeypatch):
         assert layout.classify(lines, set(r.template)) == layout.classify(lines, set(sent.value.tolist()))
 
 
+def test_join_finds_what_is_asked_beyond_the_leaves(spark, monkeypatch):
+    invite, files, devices = "Subscribe to Quiet News today", "This site stores small files on your device to keep its pages working well", "in all browsers and on all of their devices."
+    data = [(u, title, "\n".join([text, "", invite, "", files, "", devices])) for u, title, text in site_pages(20)]
+    menu, body = "Home | Archive | Contact", BODY[0].format("mill", "gate")
+    odd = {"https://copies.example/1": [invite], "https://quiet-news.example/wrapped": [files, devices], "no host": [menu, invite]}
+    data += [(u, None, "\n".join([body, "", *lines])) for u, lines in odd.items()]
+    docs = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(data)], "doc_id long, url string")
+    search = spark.createDataFrame(data, "url string, title string, text string")
+    _, sent = layout.with_template(search, docs)
+    monkeypatch.setattr(layout, "MOST_SENT", 0)
+    frame, _ = layout.with_template(search, docs)
+    for r in frame.collect():
+        lines = layout.parse(r.text, r.title, r.host)
+        gone = layout.classify(lines, set(r.template or ()))
+        assert gone == layout.classify(lines, set(sent.value.tolist()))
+        if r.url in odd:
+            assert [x.text for x, g in zip(lines, gone) if g] == odd[r.url]
+
+
 # Problem 4
 
 
