@@ -40,6 +40,9 @@ _ABOUT = re.compile(
     re.I,
 )
 
+#: Error messages and notices are looked for in units of so many characters; longer ones are cut into sentences first.
+MOST_ERROR = 260
+
 #: Characters around an occurrence in which words of explanation are looked for.
 NEAR = 90
 
@@ -161,7 +164,7 @@ def replaced(parts: Sequence[str]) -> bool:
 def _residue(part: str, filler: bool) -> bool:
     if any(v in part for v in ("undefined", "null", "NaN", "None", "nil", "[object", "N/A")) and sum(map(len, _EMPTY_VALUE.findall(part))) * 2 > len(part):
         return True
-    if len(part) <= 260:
+    if len(part) <= MOST_ERROR:
         if next(_HINTED.iter(part.lower()), None) is not None and _ERROR.search(part) or _scripts(part) and _SCRIPT.search(part):
             return True
         if len(part) <= 110 and _FILLER.match(part):

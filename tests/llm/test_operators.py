@@ -298,6 +298,12 @@ def test_residue_density(parts, bad):
     assert residue.replaced(parts) is bad
 
 
+def test_long_error_page_without_line_breaks():
+    text = " ".join(["The service is temporarily unavailable due to maintenance of our machines.", "Your session has expired, so please log in again to continue from here.", "Something went wrong on our side while this page was being made for you.", "Too many requests came from your address in the last few minutes today."])
+    assert len(text) > 260 and Page(text, None, "h.test", set(), COMMON).residue
+    assert not Page(text + " " + " ".join(s.format("barber", "kitmos") for s in BODY * 3), None, "h.test", set(), COMMON).residue
+
+
 @pytest.mark.parametrize(("title", "bad"), [("404 Not Found", True), ("Just a moment...", True), ("undefined | A Site", True), ("{{ title }}", True), ("Why a 404 page needs a map", False), ("Home", False), (None, False), (" ", False), ("Curly braces {{ }} in templates, explained", False)])
 def test_titles(title, bad):
     assert residue.bad_title(title) is bad
