@@ -34,8 +34,8 @@ from corvina.session import ship
 TOKENIZER_DIR = "/opt/tokenizers"
 
 # Fixed value: the pattern that splits a text into pieces, part of the published vocabulary; the white space is
-# Unicode's, to which Python's \s adds the four separators.
-PIECES = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x1c-\x1f]+| ?[\x1c-\x1f]+|[\s--[\x1c-\x1f]]+(?![^\s--[\x1c-\x1f]])|[\s--[\x1c-\x1f]]+"
+# Unicode's, to which Python's \s adds the four separators, which count among the other symbols here.
+PIECES = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+|[\s--[\x1c-\x1f]]+(?![^\s--[\x1c-\x1f]])|[\s--[\x1c-\x1f]]+"
 
 # The same with the standard library's faster classes, for texts without the characters in which they may differ:
 # numbers that are no decimal digits, the four separators, and everything beyond the basic plane.
