@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvina.session import stage
+
+#: Rows of a staged table that are sent to all workers at most; a larger one is joined by shuffle, with the same result.
+MOST_SENT = 200_000
+
 
 def site(url: Column) -> Column:
     """Host of a URL in lower case, without a leading ``www.`` and without the port; null for a null or hostless URL."""
@@ -12,12 +17,26 @@ def site(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def texts_by_url(search: DataFrame) -> DataFrame:
-    """(url, title, text), one row per URL: rows that occur twice are taken once, a URL with several texts has its greatest."""
-    return search.where(F.col("url").isNotNull()).groupBy("url").agg(F.max(F.struct("text", "title")).alias("row")).select("url", "row.title", "row.text")
+def sent_if_small(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """``df`` staged, and marked for a broadcast join only if its rows, counted, number at most ``most`` (``MOST_SENT``)."""
+    staged = stage(df, name)
+    return F.broadcast(staged) if staged.count() <= (MOST_SENT if most is None else most) else staged
 
 
-def pages(documents: DataFrame, search: DataFrame) -> DataFrame:
-    """(doc_id, url, title, text) of every document with its row of document_search."""
-    ids = documents.select("doc_id", "url").where(F.col("url").isNotNull())
-    return ids.join(texts_by_url(search), "url").select("doc_id", "url", "title", "text")
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by a hash of ``keys``, if its files are so few that half of the cores or more would be idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def texts_by_url(search: DataFrame) -> DataFrame:
+    """(url, title, text), one row per URL: rows that occur twice are taken once, a URL with several texts has its greatest.
+
+    The URLs that occur twice are found by reading the addresses alone; only their rows are shuffled, all others pass
+    straight through.  Null URLs have no row.
+    """
+    rows = spread(search.where(F.col("url").isNotNull()).select("url", "title", "text"), "url")
+    several = sent_if_small(rows.groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url"), "urls")
+    once = rows.join(several, "url", "left_anti")
+    twice = rows.join(several, "url", "left_semi").groupBy("url").agg(F.max(F.struct("text", "title")).alias("row"))
+    return once.unionByName(twice.select("url", "row.title", "row.text"))
