@@ -13,10 +13,11 @@ from corvina.llm.layout import classify, parse, with_template
 from corvina.session import ship
 
 #: Kinds of units that are stuffed matter.
-STUFFED = (bodies.LINKS, bodies.PRODUCTS, bodies.KEYWORDS)
+STUFFED = (bodies.LINKS, bodies.PRODUCTS, bodies.KEYWORDS, bodies.ROWS)
 
-#: Labelling functions on the statistics of a body (``votes``); each votes for prose (+), against it (-) or not at all (0).
-VOTES = 7
+#: Labelling functions on the statistics of a body (``votes``).  Each votes for prose (P), against it (N), for a list (L),
+#: a table (T), unreadable matter (J), or not at all (0).
+VOTES = 8
 
 _PAGE = "url string, furniture array<int>, residue boolean, body_chars long, stuffed double, votes string"
 _PAGE_SCHEMA = pa.schema([("url", pa.string()), ("furniture", pa.list_(pa.int32())), ("residue", pa.bool_()), ("body_chars", pa.int64()), ("stuffed", pa.float64()), ("votes", pa.string())])

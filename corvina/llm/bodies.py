@@ -31,11 +31,16 @@ _MOJIBAKE = re.compile(r"[ÃÂÐÑâï¿½€œ™¤§©¶°¼»]")
 _HANGUL = re.compile(r"[가-힣]")
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"[+-]?\d+(?:[.:/-]\d+)*%?")
 _COMMA = re.compile(r"[,、，;；/・»]")
 _SUSPECT = re.compile(r"[|#*@^~\\{}<>=+★\t€£$]|://|www\.|\d%|[ÃÂÐÑ]")
 
-#: Kinds of units.
-PROSE, HEADING, LIST, TABLE, JUNK, LINKS, PRODUCTS, KEYWORDS = range(8)
+#: A word is a keyword of its body if it isn't common and makes up such a share of the words.
+DOMINANT = 0.06
+
+#: Kinds of units.  ROWS are bare short lines one below another, without bullets, numbers or sentences.
+PROSE, HEADING, LIST, TABLE, JUNK, LINKS, PRODUCTS, KEYWORDS, ROWS = range(9)
+KINDS = 9
 
 
 class Unit:
@@ -109,18 +114,20 @@ def describe(parts: list[Unit], common: frozenset[str]) -> None:
     for unit in parts:
         unit.words = tokens(_URL.sub(" ", unit.text) if "www." in unit.text or "://" in unit.text else unit.text)
         counts.update(unit.words)
-    least = max(4, 0.06 * sum(counts.values()))
-    content = [(w, n) for w, n in counts.items() if n >= least and len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"]
-    dominant = {w for w, _ in sorted(content, key=lambda x: (-x[1], x[0]))[:4]}
+    least = max(4, DOMINANT * sum(counts.values()))
+    dominant = {w for w, n in counts.items() if n >= least and len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"}
     for unit in parts:
         unit.kind = _kind(unit, dominant, common)
     for i, unit in enumerate(parts):
         if unit.kind == HEADING:
             near = [parts[k].kind for k in (i - 1, i + 1) if 0 <= k < len(parts)]
-            # A heading stands by itself; rows of such lines are a list, and of keywords if they recur.
-            if near and all(k in (HEADING, KEYWORDS, LIST, PRODUCTS, LINKS) for k in near):
-                hits = sum(w in dominant for w in unit.words)
-                unit.kind = KEYWORDS if hits * 2 >= max(1, len(unit.words)) else LIST
+            # A heading stands by itself; rows of such lines are a list.
+            if near and all(k in _ROWED for k in near):
+                unit.kind = LIST if _DIGIT.search(unit.text) or _BULLET.match(unit.text) else ROWS
+
+
+#: Kinds that may stand above and below a bare line of a list.
+_ROWED = (HEADING, KEYWORDS, LIST, PRODUCTS, LINKS, ROWS)
 
 
 def _kind(unit: Unit, dominant: set[str], common: frozenset[str]) -> int:
@@ -138,6 +145,10 @@ def _kind(unit: Unit, dominant: set[str], common: frozenset[str]) -> int:
         rest = _URL.sub(" ", text)
         if url * 2 > size or (len(rest) <= 80 and not ended):
             return LINKS
+    if len(_MOJIBAKE.findall(text)) > 0.3 * size:
+        return JUNK
+    if not ended and _is_record(text):
+        return TABLE
     tags = _TAG.findall(text) if "#" in text else ()
     if len(tags) >= 3 and sum(map(len, tags)) * 2 > size:
         return KEYWORDS
@@ -147,7 +158,7 @@ def _kind(unit: Unit, dominant: set[str], common: frozenset[str]) -> int:
             return KEYWORDS
     odd = len(_SYMBOL.findall(text))
     price = _PRICE.search(text) is not None
-    if size >= 8 and odd > 0.2 * size or len(_MOJIBAKE.findall(text)) > 0.3 * size:
+    if size >= 8 and odd > 0.2 * size:
         return PRODUCTS if _SKU.search(text) and odd < 0.3 * size else JUNK
     if spaced and not hangul and size > 45 and max(map(len, text.split())) > 45 and "://" not in text:
         return JUNK
@@ -179,9 +190,18 @@ def _kind(unit: Unit, dominant: set[str], common: frozenset[str]) -> int:
     return PROSE
 
 
+def _is_record(text: str) -> bool:
+    """Whether a line is a row of separated data: three or more fields without blanks behind the separator, a third of them numbers."""
+    for mark in ",;":
+        if text.count(mark) >= 2:
+            fields = text.split(mark)
+            return not any(f[:1] == " " for f in fields) and sum(_NUMBER.fullmatch(f) is not None for f in fields) * 3 >= len(fields)
+    return False
+
+
 def shares(parts: Sequence[Unit]) -> list[float]:
     """Share of the characters of each kind."""
-    out = [0.0] * 8
+    out = [0.0] * KINDS
     total = sum(len(u.text) for u in parts)
     if total:
         for u in parts:

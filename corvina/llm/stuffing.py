@@ -1,9 +1,16 @@
 """Problem 4: pages made of stuffed keywords, lists of links or product and tag listings.
 
-Pointwise mutual information of neighbouring words, from counts over the bodies of all pages, tells how the words of a
-page hang together.  In a page's list-like and keyword-heavy units a low mean is incoherent word salad; collocations
-that recur within the page far more than in running text are stuffed; lists of links have hardly any neighbouring words
-at all.  Pages flagged by any of these pass an exact check: such units must hold most characters of the main body.
+The neighbouring words of every body are counted over the corpus; addresses, article numbers and other numbers count as
+one word each.  Two scores of a body follow from those counts.  ``coherence`` is the mean pointwise mutual information
+of its neighbours, each divided by its largest possible value, so that the bounds mean the same in a corpus of any size:
+running text lies between ``LOW`` and ``HIGH``, word salad and lists of links below, invented compounds that occur in
+one page only above.  ``excess`` is the mean, over all neighbours, of how much more often those that recur in the body
+stand there than in the corpus (a logarithm): collocations repeated far more than a text needs lie above ``EXCESS``.
+
+Lists and tables that inform a reader are incoherent too.  So a page flagged by its scores passes a check: units that
+are no sentences, tables, bulleted lists or unreadable matter, or sentences full of the body's own keywords
+(``suspect``), must hold most of its characters.  Both conditions must hold; the check is looked at first because it
+needs the page alone, and so only a few pages' neighbours are shuffled.
 
 Corpus counts are summed per batch of pages before they are shuffled.  Words are 32-bit hashes, so a pair of
 neighbours is one 64-bit key.
@@ -11,6 +18,8 @@ neighbours is one 64-bit key.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,20 +29,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm import bodies
-from corvina.llm.analysis import STUFFED, read_pages
+from corvina.llm.analysis import STUFFED, Page, common_words, read_pages
 from corvina.session import stage
 
-#: Mean mutual information below which neighbours are incoherent, and above which they occur in this page only.
-LOW, HIGH = 3.3, 8.0
+#: Mean normalized mutual information between which neighbours hang together as in running text.
+LOW, HIGH = 0.46, 0.78
 
-#: Share of a page's neighbouring pairs that recur at least RECURS times in it, from which collocations are stuffed.
-RECURS, STUFFED_SHARE = 3, 0.03
+#: Times a pair of neighbours occurs in a body to be recurring, and the excess from which collocations are stuffed.
+RECURS, EXCESS = 3, 1.5
 
-#: Pages with fewer pairs than this in their stuffed units have no running words.
-FEW_PAIRS = 20
+#: A word is a keyword of a sentence's body from such a share of the words, and the sentence suspect from such a share of keywords.
+KEYWORD, SUSPECT = 0.05, 0.15
 
-_ROWS = "url string, pair long, n long, share double, links double"
-_SCHEMA = pa.schema([("url", pa.string()), ("pair", pa.int64()), ("n", pa.int64()), ("share", pa.float64()), ("links", pa.float64())])
+# What counts as one word: addresses, article numbers, other numbers.
+_MARKED = re.compile(r"(?:https?://|www\.)[^\s)\]]+|\b[A-Z]{2,4}-\d{3,}\b|\d[\d.,:%°]*")
+_HAS_MARK = re.compile(r"\d|www\.|://")
+
+_ROWS = "url string, pair long, n long, size long"
+_SCHEMA = pa.schema([("url", pa.string()), ("pair", pa.int64()), ("n", pa.int64()), ("size", pa.int64())])
+
+
+def _mark(found: re.Match) -> str:
+    text = found[0]
+    return " aaurl " if text[0] in "hw" else " aasku " if text[0].isalpha() else " aanum "
+
+
+def neighbours(unit: bodies.Unit) -> list[str]:
+    """The words of a unit with addresses and numbers as one word each."""
+    return bodies.tokens(_MARKED.sub(_mark, unit.text)) if _HAS_MARK.search(unit.text) else unit.words
+
+
+def suspect(page: Page, common: frozenset[str]) -> float:
+    """Share of a body's characters in units that may be stuffed."""
+    total = sum(len(u.text) for u in page.units)
+    if not total:
+        return 0.0
+    counts: Counter = Counter()
+    for unit in page.units:
+        counts.update(unit.words)
+    least = max(4, KEYWORD * sum(counts.values()))
+    keywords = {w for w, n in counts.items() if n >= least and len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"}
+    held = 0
+    for unit in page.units:
+        if unit.kind in STUFFED or unit.kind == bodies.PROSE and len(unit.words) >= 2 and sum([w in keywords for w in unit.words]) >= SUSPECT * len(unit.words):
+            held += len(unit.text)
+    return held / total
 
 
 def _ids(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -55,42 +95,38 @@ def _pairs(words: list[str], known: dict[str, int]) -> np.ndarray:
         return (ids[:-1] << 32) | ids[1:]
 
 
-def _counted(read) -> Iterable[pa.RecordBatch]:
-    """Rows (null, pair, n) summed over many pages, and (url, pair, n) of each page whose body is mostly stuffed."""
+def _counted(read, common: frozenset[str]) -> Iterable[pa.RecordBatch]:
+    """Rows (null, pair, n) summed over many pages, and (url, pair, n, all pairs) of each page that is mostly suspect.
+
+    A page without neighbours has no rows.
+    """
     known: dict[str, int] = {}
     corpus: list[np.ndarray] = []
-    held: list[tuple[str | None, np.ndarray, np.ndarray, float, float]] = []
+    held: list[tuple[str | None, np.ndarray, np.ndarray, int]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         if corpus:
             keys, n = np.unique(np.concatenate(corpus), return_counts=True)
-            held.append((None, keys, n, 0.0, 0.0))
+            held.append((None, keys, n, 0))
         lengths = [len(h[1]) for h in held]
         columns = [
             pa.array([h[0] for h, k in zip(held, lengths) for _ in range(k)], pa.string()),
             pa.array(np.concatenate([h[1] for h in held]) if held else [], pa.int64()),
             pa.array(np.concatenate([h[2] for h in held]) if held else [], pa.int64()),
-            pa.array(np.repeat([h[3] for h in held], lengths) if held else [], pa.float64()),
-            pa.array(np.repeat([h[4] for h in held], lengths) if held else [], pa.float64()),
+            pa.array(np.repeat([h[3] for h in held], lengths) if held else [], pa.int64()),
         ]
         corpus.clear()
         held.clear()
         return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
     for url, page, _ in read:
-        own = []
-        for unit in page.units:
-            if len(unit.words) > 1:
-                pairs = _pairs(unit.words, known)
-                corpus.append(pairs)
-                size += len(pairs)
-                if unit.kind in STUFFED:
-                    own.append(pairs)
-        share = sum(page.kinds[k] for k in STUFFED)
-        if share > 0.5 and not page.replaced:  # filler repeats its words too
-            keys, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.array([0]), np.array([0]))
-            held.append((url, keys, n, share, page.kinds[bodies.LINKS]))
+        own = [_pairs(words, known) for words in map(neighbours, page.units) if len(words) > 1]
+        corpus += own
+        size += sum(map(len, own))
+        if own and not page.replaced and suspect(page, common) > 0.5:  # filler repeats its words too
+            keys, n = np.unique(np.concatenate(own), return_counts=True)
+            held.append((url, keys, n, int(n.sum())))
         if size > 2_000_000:
             yield flush()
             size = 0
@@ -98,34 +134,34 @@ def _counted(read) -> Iterable[pa.RecordBatch]:
 
 
 def information(counts: DataFrame) -> DataFrame:
-    """(pair, pmi) from (pair, n), one row per pair."""
+    """(pair, information, rate) from (pair, n), one row per pair: normalized mutual information (-1 to 1) and share of all pairs."""
     left, right = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     counts = counts.withColumns({"left": left, "right": right})
     total = counts.agg(F.sum("n").alias("total"))
     lefts = counts.groupBy("left").agg(F.sum("n").alias("left_n"))
     rights = counts.groupBy("right").agg(F.sum("n").alias("right_n"))
     joined = counts.join(lefts, "left").join(rights, "right").crossJoin(F.broadcast(total))  # one row
-    return joined.select("pair", F.log(F.col("n") * F.col("total") / (F.col("left_n").cast("double") * F.col("right_n"))).alias("pmi"))
+    mutual = F.log(F.col("n") * F.col("total") / (F.col("left_n").cast("double") * F.col("right_n")))
+    rate = F.col("n") / F.col("total")
+    # A corpus of one pair only has no information; its largest value is 0.
+    return joined.select("pair", F.coalesce(F.try_divide(mutual, -F.log(rate)), F.lit(0.0)).alias("information"), rate.alias("rate"))
 
 
 def scores(pages: DataFrame, documents: DataFrame, words: DataFrame) -> DataFrame:
-    """(url, share, links, pairs, coherence, recurring) of every page whose body is mostly list-like or keyword-heavy.
-
-    ``share`` is the share of such matter in the body's characters, ``links`` that of lists of links, ``pairs`` its
-    neighbouring word pairs, ``coherence`` their mean mutual information and ``recurring`` the share that recurs.
-    """
-    rows = stage(read_pages(pages, documents, words, _counted, _ROWS), "pairs")
+    """(url, pairs, coherence, excess) of every page that is mostly suspect."""
+    sent = pages.sparkSession.sparkContext.broadcast(common_words(words))
+    rows = stage(read_pages(pages, documents, words, lambda read: _counted(read, sent.value), _ROWS), "pairs")
     counts = stage(rows.where("url IS NULL").groupBy("pair").agg(F.sum("n").alias("n")), "counts")
     own = rows.where("url IS NOT NULL")
-    scored = own.join(information(counts), "pair", "left")
-    return scored.groupBy("url", "share", "links").agg(
+    lift = F.when(F.col("n") >= RECURS, F.col("n") * F.log(F.col("n") / F.col("size") / F.col("rate"))).otherwise(0.0)
+    return own.join(information(counts), "pair").groupBy("url").agg(
         F.sum("n").alias("pairs"),
-        F.try_divide(F.sum(F.col("n") * F.col("pmi")), F.sum("n")).alias("coherence"),
-        F.try_divide(F.sum(F.when(F.col("n") >= RECURS, F.col("n")).otherwise(0)), F.sum("n")).alias("recurring"),
+        (F.sum(F.col("n") * F.col("information")) / F.sum("n")).alias("coherence"),
+        (F.sum(lift) / F.sum("n")).alias("excess"),
     )
 
 
 def stuffed_pages(pages: DataFrame, documents: DataFrame, words: DataFrame) -> DataFrame:
     """(url) of the pages made for search engines."""
-    flagged = (F.col("coherence") < LOW) | (F.col("coherence") > HIGH) | (F.col("recurring") >= STUFFED_SHARE) | (F.col("pairs") < FEW_PAIRS) | (F.col("links") > 0.5)
-    return scores(pages, documents, words).where(flagged & (F.col("share") > 0.5)).select("url")
+    flagged = (F.col("coherence") < LOW) | (F.col("coherence") > HIGH) | (F.col("excess") >= EXCESS)
+    return scores(pages, documents, words).where(flagged).select("url")
