@@ -28,29 +28,49 @@ def common_words(words: DataFrame) -> frozenset[str]:
     return frozenset(row.word.lower() for row in words.select("word").distinct().limit(10_000).collect() if row.word)
 
 
-def _vote(value: float, low: float, high: float) -> str:
-    return "+" if value >= high else "-" if value <= low else "0"
+def _vote(value: float, low: float, high: float, under: str, over: str) -> str:
+    return over if value >= high else under if value <= low else "0"
+
+
+# The type each kind of unit belongs to.
+_TYPE = {bodies.PROSE: "P", bodies.HEADING: "P", bodies.LIST: "L", bodies.TABLE: "T", bodies.JUNK: "J", bodies.LINKS: "L", bodies.PRODUCTS: "L", bodies.KEYWORDS: "L", bodies.ROWS: "L"}
 
 
 def vote(parts: list[bodies.Unit], kinds: list[float], common: frozenset[str]) -> str:
-    """The labelling functions' votes on a body: kinds of units, sentence ends, common words, symbols, digits, length of units, keyword dominance."""
-    total = sum(len(u.text) for u in parts)
+    """The labelling functions' votes on a body.
+
+    In order: the type that holds most characters by the look of the units, share of characters in units that end in
+    punctuation, share of common words, symbol ratio, digit ratio, mean length of units, share of words that are the
+    body's most frequent ones, mean word length.  Thresholds on words don't apply to scripts without spaces.
+    """
+    total = sum([len(u.text) for u in parts])
     if not total:
         return "0" * VOTES
-    text = "\n".join(u.text for u in parts)
+    text = "\n".join([u.text for u in parts])
     words = [w for u in parts for w in u.words]
     east = bodies._EAST.search(text) is not None
-    ends = sum(len(u.text) for u in parts if bodies.ends_sentence(u.text)) / total
-    often = "0" if east or len(words) < 5 else _vote(sum([w in common for w in words]) / len(words), 0.08, 0.18)
-    symbols = _vote(-len(bodies._SYMBOL.findall(text)) / total, -0.12, -0.05)
-    digits = _vote(-len(bodies._DIGIT.findall(text)) / total, -0.15, -0.05)
-    length = _vote(total / len(parts), 25 if not east else 14, 55 if not east else 30)
-    counts: dict[str, int] = {}
-    for w in words:
-        if len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ":
+    held = dict.fromkeys("PLTJ", 0.0)
+    for kind, share in enumerate(kinds):
+        held[_TYPE[kind]] += share
+    most = max(held, key=held.get)
+    look = "P" if held["P"] > 0.5 else most if most != "P" else max("LTJ", key=held.get)
+    ends = _vote(sum([len(u.text) for u in parts if bodies.ends_sentence(u.text)]) / total, 0.35, 0.6, "N", "P")
+    often = length = "0"
+    if not east and len(words) >= 5:
+        often = _vote(sum([w in common for w in words]) / len(words), 0.08, 0.18, "N", "P")
+        mean = sum(map(len, words)) / len(words)
+        length = "J" if mean >= 10 else "N" if mean >= 6.5 or mean < 3 else "P"
+    symbols = _vote(len(bodies._SYMBOL.findall(text)) / total, 0.05, 0.12, "P", "J")
+    digits = _vote(len(bodies._DIGIT.findall(text)) / total, 0.05, 0.15, "P", "T")
+    long = _vote(total / len(parts), 14 if east else 25, 30 if east else 55, "L", "P")
+    top = "0"
+    if len(words) >= 20:
+        counts: dict[str, int] = {}
+        for w in words:
             counts[w] = counts.get(w, 0) + 1
-    top = "0" if len(words) < 20 else _vote(-sum(sorted(counts.values())[-4:]) / len(words), -0.3, -0.2)
-    return _vote(kinds[bodies.PROSE] + kinds[bodies.HEADING], 0.5, 0.5000001) + _vote(ends, 0.35, 0.6) + often + symbols + digits + length + top
+        often_ = sorted([n for w, n in counts.items() if len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"])[-4:]
+        top = _vote(sum(often_) / len(words), 0.2, 0.3, "P", "L")
+    return look + ends + often + symbols + digits + long + top + length
 
 
 class Page:

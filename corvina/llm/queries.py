@@ -47,8 +47,8 @@ def _analysed(spark: SparkSession, d: str) -> DataFrame:
     return prose.posteriors(pages)
 
 
-#: Bodies whose posterior of prose is below this, and (the exact check, the first vote) whose prose makes up no more than half of the characters.
-NO_PROSE = "(coalesce(prose < 0.5, false) AND substring(votes, 1, 1) = '-')"
+#: Bodies that are no natural prose by their posterior.
+NO_PROSE = "coalesce(prose < 0.5, false)"
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
