@@ -92,7 +92,7 @@ class Page:
         if not kept:  # nothing beside notices: they are the body
             kept = [x.text for x in lines if residue.is_notice(x.text)]
         self.furniture = [i + 1 for i, g in enumerate(gone) if g]
-        self.replaced = residue.replaced([piece for part in kept for piece in (bodies.pieces(part) if len(part) > residue.MOST_ERROR else [part])])
+        self.replaced = residue.replaced([piece for part in kept for piece in bodies.pieces(part)])
         self.residue = self.replaced or residue.placeholders("\n".join(self.forms))
         self.units = bodies.units(kept)
         bodies.describe(self.units, common)

@@ -1,8 +1,11 @@
 """Problem 7: template residue, filler, error pages and script notices in place of content.
 
-Unfilled placeholders are found by one grammar per delimiter; occurrences inside code or in text that explains such
-things (its words stand close by) are discounted.  Filler, error messages and notices count by density: they must make
-up most of the characters of the page's main body.
+Unfilled placeholders are found by one grammar per delimiter; occurrences inside code, those that are mentioned rather
+than left in (``write {{ name }} where``), and those in text that explains such things (its words stand close by) are
+discounted, unless placeholders make up most of their line.  Filler, error messages and notices count by density: their
+sentences must make up most of the characters of the page's main body.  A message is told by what servers are known to
+say, by an incident number, or by a grammar of what failed (page, service, session, ...) and how (not found, expired,
+...); every match vouches for so many characters around it (``REACH``), whatever the length of the sentence.
 """
 
 from __future__ import annotations
@@ -40,8 +43,12 @@ _ABOUT = re.compile(
     re.I,
 )
 
-#: Error messages and notices are looked for in units of so many characters; longer ones are cut into sentences first.
-MOST_ERROR = 260
+# An occurrence that is mentioned: what stands right before it, and right behind it.
+_MENTIONED = re.compile(r"\b(?:writ(?:e|es|ing)|typ(?:e|es|ing)|insert(?:ing)?|put|use(?:s|d)?|using|such as|like|called|named|variable|field|tag|token|e\.g\.|schreiben|schreibe|namens|écrivez|écrire|appelée?|escriba|escribir|llamad[oa]|escreva|escrever|chamad[oa])\s*[`\"“‘'(«]?$", re.I)
+_EXPLAINED = re.compile(r"^[`\"”’')»]?\s*(?:where\b|(?:is|are|was|were|gets?|will be) (?:replaced|filled|expanded|rendered|substituted)|stands? for|means?\b|has no value|holds? the|wird (?:durch|ersetzt)|est remplacée?|se sustituye|é substituíd[oa])", re.I)
+
+#: Characters of a sentence that one match of an error message, notice or filler vouches for.
+REACH = 260
 
 #: Characters around an occurrence in which words of explanation are looked for.
 NEAR = 90
@@ -59,6 +66,24 @@ _FILLER = re.compile(
     re.I,
 )
 
+# What failed and how, in the languages of the corpus: a sentence that names both says that something failed.
+_SUBJECT = r"(?:page|site|website|file|url|address|link|service|server|session|account|host|gateway|database|connection|request|resource|seite|datei|adresse|dienst|server|sitzung|konto|verbindung|anfrage|fichier|adresse|serveur|compte|connexion|requête|ressource|página|sitio|archivo|dirección|servicio|servidor|sesión|cuenta|conexión|solicitud|arquivo|endereço|serviço|sessão|conta|conexão|pedido)"
+_STATE = (
+    r"(?:not (?:be )?(?:found|available|reached|accessible)|no longer (?:exists|available)|does(?: not|n't) exist|un(?:available|reachable)|timed? ?out|expired|suspended|refused|rejected|failed|overloaded|nicht (?:gefunden|verfügbar|erreichbar|vorhanden|mehr)|abgelaufen|gesperrt|abgelehnt|fehlgeschlagen|überlastet"
+    r"|introuvable|indisponible|inaccessible|expirée?|suspendue?|refusée?|rejetée?|échoué|surchargée?|no (?:se )?(?:encontrad[oa]|encuentra|encontró|disponible|está disponible)|caducad[oa]|suspendid[oa]|rechazad[oa]|ha fallado|sobrecargad[oa]|não (?:foi )?(?:encontrad[oa]|está disponível|disponível)|indisponível|expirad[oa]|expirou|suspens[oa]|recusad[oa]|rejeitad[oa]|falhou|sobrecarregad[oa])"
+)
+_FAILED = re.compile(
+    rf"\b{_SUBJECT}\b[^.!?]{{0,40}}\b{_STATE}\b|(?:ページ|サイト|サービス|サーバー|セッション|アカウント|接続)[^。！？]{{0,16}}(?:見つかりません|存在しません|利用できません|できません(?:でした)?。?$|期限切れ|停止|失敗|拒否)"
+    r"|(?:页面|网页|网站|服务器?|会话|账户|连接|请求)[^。！？]{0,10}(?:不存在|找不到|不可用|无法访问|已过期|已停用|失败|被拒绝|超时)|(?:페이지|사이트|서비스|서버|세션|계정|연결|요청)[^.!?]{0,16}(?:찾을 수 없|존재하지 않|사용할 수 없|이용할 수 없|만료|정지|실패|거부)",
+    re.I,
+)
+
+# An incident number: six or more hexadecimal digits with a letter and a figure, on their own.
+_INCIDENT = re.compile(r"(?<![0-9a-z_-])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{6,16}(?![0-9a-z_-])", re.I | re.A)
+
+# Numbers and codes are told to a reader in messages: what announces one.
+_CODE = re.compile(r"(?:error|request|reference|incident|ray|trace|code|id|fehler|kennung|vorgang|erreur|référence|incidente|referencia|referência|código|erro|编号|代码|错误|番号|コード|エラー|번호|코드|오류)", re.I)
+
 _EMPTY_VALUE = re.compile(r"\b(?:undefined|null|NaN|None|nil)\b|\[object Object\]|N/A")
 
 # What servers and gateways say, in the languages of the corpus.
@@ -80,6 +105,9 @@ _HINTS = (
     "|indisponible|manutenção|indisponível|점검|メンテナンス|维护|暂时|服务不可用|traceback|file \"|exception|stack trace|request id|ray |kennung|요청 번호|page you|home page|start page|homepage|startpage|moved or deleted|请求|リクエスト"
     "|went wrong|reference |schiefgelaufen|algo salió|algo deu|問題が発生|문제가 발생|出了点问题"
     "|warning:|notice:|deprecated:|오류|エラー|错误|お探し"
+    # the states of the grammar, and what announces an incident number
+    "|not be |not available|no longer|not exist|n't exist|unreachable|inaccessible|timed out|timeout|time out|refused|rejected|failed|overload|nicht |abgelaufen|gesperrt|abgelehnt|fehlgeschlagen|überlastet|expir|suspend|rejet|échoué|surcharg|no está|no dispon|encuentra|caducad|rechazad|fallado|sobrecarga|não |suspens|recusad|rejeitad|falhou|sobrecarreg"
+    "|存在し|利用でき|できません|期限切れ|停止|失敗|拒否|不可用|无法|过期|停用|失败|被拒|超时|존재하지|사용할 수 없|이용할 수 없|만료|정지|실패|거부|incident|reference|code|trace|fehlernummer|vorgang|référence|referencia|referência|código|编号|代码|番号|コード|번호|코드"
 ).split("|")
 _HINTED = ahocorasick.Automaton()
 for _hint in _HINTS:
@@ -109,9 +137,14 @@ def placeholders(text: str) -> bool:
         start, end = found.span()
         if text[max(0, start - 1) : start] == "`" or text[end : end + 1] == "`":
             continue
-        line = text.rfind("\n", 0, start) + 1
+        line, stop = text.rfind("\n", 0, start) + 1, text.find("\n", end)
         if text.startswith(("    ", "\t"), line) or text.count("```", 0, start) % 2:
             continue
+        own = text[line : stop if stop >= 0 else len(text)]
+        if sum([len(m[0]) for m in PLACEHOLDER.finditer(own)]) * 2 > len(own.strip()):
+            return True  # hardly anything else on the line: nothing that explains it
+        if _MENTIONED.search(text, max(line, start - NEAR), start) or _EXPLAINED.match(text[end : end + NEAR]):
+            continue
         if _ABOUT.search(text, max(0, start - NEAR), start) or _ABOUT.search(text, end, end + NEAR):
             continue
         return True
@@ -136,12 +169,12 @@ def _scripts(text: str) -> bool:
 
 def is_notice(line: str) -> bool:
     """Whether a line only says that scripts are needed."""
-    return len(line) <= 140 and _scripts(line) and _SCRIPT.search(line) is not None and len(_SCRIPT.sub("", line).split()) <= 12
+    return _scripts(line) and _SCRIPT.search(line) is not None and len(_SCRIPT.sub("", line).split()) <= 12 and len(line) <= REACH
 
 
 def is_machine_text(line: str) -> bool:
     """Whether a line is filler, an error message or an empty value."""
-    return len(line) <= 140 and not (_scripts(line) and _SCRIPT.search(line)) and _residue(line, False)
+    return not (_scripts(line) and _SCRIPT.search(line)) and _residue(line, False)
 
 
 def replaced(parts: Sequence[str]) -> bool:
@@ -161,14 +194,19 @@ def replaced(parts: Sequence[str]) -> bool:
     return True
 
 
+def messages(part: str) -> int:
+    """Error messages and script notices in a sentence."""
+    found = len(_SCRIPT.findall(part)) if _scripts(part) else 0
+    if next(_HINTED.iter(part.lower()), None) is not None:
+        found += sum(1 for _ in _ERROR.finditer(part)) or sum(1 for _ in _FAILED.finditer(part)) or (_INCIDENT.search(part) is not None and _CODE.search(part) is not None)
+    return found
+
+
 def _residue(part: str, filler: bool) -> bool:
     if any(v in part for v in ("undefined", "null", "NaN", "None", "nil", "[object", "N/A")) and sum(map(len, _EMPTY_VALUE.findall(part))) * 2 > len(part):
         return True
-    if len(part) <= MOST_ERROR:
-        if next(_HINTED.iter(part.lower()), None) is not None and _ERROR.search(part) or _scripts(part) and _SCRIPT.search(part):
-            return True
-        if len(part) <= 110 and _FILLER.match(part):
-            return True
+    if messages(part) * REACH >= len(part) or _FILLER.match(part):
+        return True
     if filler:
         own = re.findall(r"[^\W\d_]+", part.lower())
         return bool(own) and not any(w in _FUNCTION for w in own)
