@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -23,9 +24,21 @@ _PAGE = "url string, furniture array<int>, residue boolean, body_chars long, stu
 _PAGE_SCHEMA = pa.schema([("url", pa.string()), ("furniture", pa.list_(pa.int32())), ("residue", pa.bool_()), ("body_chars", pa.int64()), ("stuffed", pa.float64()), ("votes", pa.string())])
 
 
+#: Rows that a list of frequent words may have; it is read to the driver, so a larger table is refused.
+MOST_WORDS = 100_000
+
+
+def listed_words(words: DataFrame) -> list:
+    """The rows (lang, word) of the list of frequent words, a small fixed table; raises beyond ``MOST_WORDS`` rows."""
+    rows = words.select("lang", "word").distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"the list of common words has more than {MOST_WORDS} rows")
+    return rows
+
+
 def common_words(words: DataFrame) -> frozenset[str]:
-    """The frequent words of all languages; the table is a small fixed list, of which at most 10,000 rows are taken in."""
-    return frozenset(row.word.lower() for row in words.select("word").distinct().limit(10_000).collect() if row.word)
+    """The frequent words of all languages, in lower case."""
+    return frozenset(row.word.lower() for row in listed_words(words) if row.word)
 
 
 def _vote(value: float, low: float, high: float, under: str, over: str) -> str:
@@ -36,47 +49,45 @@ def _vote(value: float, low: float, high: float, under: str, over: str) -> str:
 _TYPE = {bodies.PROSE: "P", bodies.HEADING: "P", bodies.LIST: "L", bodies.TABLE: "T", bodies.JUNK: "J", bodies.LINKS: "L", bodies.PRODUCTS: "L", bodies.KEYWORDS: "L", bodies.ROWS: "L"}
 
 
-def vote(parts: list[bodies.Unit], kinds: list[float], common: frozenset[str]) -> str:
+def vote(page: Page, common: frozenset[str]) -> str:
     """The labelling functions' votes on a body.
 
     In order: the type that holds most characters by the look of the units, share of characters in units that end in
     punctuation, share of common words, symbol ratio, digit ratio, mean length of units, share of words that are the
     body's most frequent ones, mean word length.  Thresholds on words don't apply to scripts without spaces.
     """
+    parts, kinds = page.units, page.kinds
     total = sum([len(u.text) for u in parts])
     if not total:
         return "0" * VOTES
     text = "\n".join([u.text for u in parts])
-    words = [w for u in parts for w in u.words]
-    east = bodies._EAST.search(text) is not None
+    words = sum([len(u.words) for u in parts])
+    east = not text.isascii() and bodies._EAST.search(text) is not None
     held = dict.fromkeys("PLTJ", 0.0)
     for kind, share in enumerate(kinds):
         held[_TYPE[kind]] += share
     most = max(held, key=held.get)
     look = "P" if held["P"] > 0.5 else most if most != "P" else max("LTJ", key=held.get)
-    ends = _vote(sum([len(u.text) for u in parts if bodies.ends_sentence(u.text)]) / total, 0.35, 0.6, "N", "P")
+    ends = _vote(sum([len(u.text) for u in parts if u.ended]) / total, 0.35, 0.6, "N", "P")
     often = length = "0"
-    if not east and len(words) >= 5:
-        often = _vote(sum([w in common for w in words]) / len(words), 0.08, 0.18, "N", "P")
-        mean = sum(map(len, words)) / len(words)
+    if not east and words >= 5:
+        often = _vote(sum([u.common for u in parts]) / words, 0.08, 0.18, "N", "P")
+        mean = sum([len(w) * n for w, n in page.counts.items()]) / words
         length = "J" if mean >= 10 else "N" if mean >= 6.5 or mean < 3 else "P"
     symbols = _vote(len(bodies._SYMBOL.findall(text)) / total, 0.05, 0.12, "P", "J")
     digits = _vote(len(bodies._DIGIT.findall(text)) / total, 0.05, 0.15, "P", "T")
     long = _vote(total / len(parts), 14 if east else 25, 30 if east else 55, "L", "P")
     top = "0"
-    if len(words) >= 20:
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        often_ = sorted([n for w, n in counts.items() if len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"])[-4:]
-        top = _vote(sum(often_) / len(words), 0.2, 0.3, "P", "L")
+    if words >= 20:
+        most_ = heapq.nlargest(4, [n for w, n in page.counts.items() if n > 1 and len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"])
+        top = _vote(sum(most_) / words, 0.2, 0.3, "P", "L")
     return look + ends + often + symbols + digits + long + top + length
 
 
 class Page:
     """A page read: its furniture, whether it is residue (its body replaced, or a placeholder left in), and its main body in units."""
 
-    __slots__ = ("furniture", "residue", "replaced", "units", "kinds", "forms")
+    __slots__ = ("furniture", "residue", "replaced", "units", "kinds", "forms", "counts")
 
     def __init__(self, text: str, title: str | None, host: str | None, template: set[int], common: frozenset[str]) -> None:
         lines = parse(text, title, host)
@@ -92,10 +103,11 @@ class Page:
         if not kept:  # nothing beside notices: they are the body
             kept = [x.text for x in lines if residue.is_notice(x.text)]
         self.furniture = [i + 1 for i, g in enumerate(gone) if g]
-        self.replaced = residue.replaced([piece for part in kept for piece in bodies.pieces(part)])
+        cut = list(map(bodies.pieces, kept))
+        self.replaced = residue.replaced([piece for part in cut for piece in part])
         self.residue = self.replaced or residue.placeholders("\n".join(self.forms))
-        self.units = bodies.units(kept)
-        bodies.describe(self.units, common)
+        self.units = bodies.units(kept, cut)
+        self.counts = bodies.describe(self.units, common)
         self.kinds = bodies.shares(self.units)
 
 
@@ -134,7 +146,7 @@ def analyse(pages: DataFrame, documents: DataFrame, words: DataFrame) -> DataFra
         rows: list[tuple] = []
         for url, page, _ in read:
             size = sum(len(u.text) for u in page.units)
-            rows.append((url, page.furniture, page.residue, size, sum(page.kinds[k] for k in STUFFED), vote(page.units, page.kinds, _COMMON.value)))
+            rows.append((url, page.furniture, page.residue, size, sum(page.kinds[k] for k in STUFFED), vote(page, _COMMON.value)))
             if len(rows) >= 2000:
                 yield _batch(rows)
                 rows = []

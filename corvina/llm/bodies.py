@@ -21,6 +21,8 @@ _BULLET = re.compile(r"^(?:[-*+•◦▪‣]|\(?\d{1,3}[.)])\s+")
 _CELLS = re.compile(r"\S(?:\s\|\s|\t|\s{3,})\S")
 _PAIR = re.compile(r"^[^:]{1,30}:\s*(?:—|-|\d[\d.,]*\s?\w{0,3}|\S{1,20})$")
 _WORD = re.compile(r"[ァ-ヺー]+|[ぁ-ゖ]+|[㐀-鿿]+|[^\W\d_ぁ-ゖァ-ヺー㐀-鿿]+(?:['’-][^\W\d_]+)*")
+_ASCII_WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*")
+_LATIN_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _INLINE = re.compile(r"(?<!\])\(\s*(?:https?://|www\.)[^)]*\)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _KANA = re.compile(r"[ぁ-ゖ]")
@@ -33,7 +35,7 @@ _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"[+-]?\d+(?:[.:/-]\d+)*%?")
 _COMMA = re.compile(r"[,、，;；/・»]")
-_SUSPECT = re.compile(r"[|#*@^~\\{}<>=+★\t€£$]|://|www\.|\d%|[ÃÂÐÑ]")
+_SUSPECT = re.compile(r"[|#*@^~\\{}<>=+★\t€£$%ÃÂÐÑ]")
 
 #: A word is a keyword of its body if it isn't common and makes up such a share of the words.
 DOMINANT = 0.06
@@ -43,12 +45,25 @@ PROSE, HEADING, LIST, TABLE, JUNK, LINKS, PRODUCTS, KEYWORDS, ROWS = range(9)
 KINDS = 9
 
 
+# What counts as one word beside words: addresses, article numbers, other numbers; and the words they become.
+_MARKED = re.compile(r"(?:https?://|www\.)[^\s)\]]+|\b[A-Z]{2,4}-\d{3,}\b|\d[\d.,:%°]*")
+MARKS = ADDRESS, ARTICLE, NUMBER = "aaurl", "aasku", "aanum"
+
+
 class Unit:
-    __slots__ = ("text", "kind", "words")
+    """A unit: its text, kind, words (lower case), the words with addresses and numbers as one word each, and how many are common."""
+
+    __slots__ = ("text", "kind", "words", "marked", "common", "ended")
 
     def __init__(self, text: str) -> None:
-        self.text, self.kind = text, PROSE
+        self.text, self.kind, self.common, self.ended = text, PROSE, 0, False
         self.words: list[str] = []
+        self.marked: list[str] = []
+
+
+def _mark(found: re.Match) -> str:
+    text = found[0]
+    return f" {ADDRESS} " if text[0] in "hw" else f" {ARTICLE} " if text[0].isalpha() else f" {NUMBER} "
 
 
 def paragraphs(lines: Sequence[Line], furniture: Sequence[bool]) -> list[str]:
@@ -67,16 +82,19 @@ def paragraphs(lines: Sequence[Line], furniture: Sequence[bool]) -> list[str]:
     return out
 
 
-def units(parts: Sequence[str]) -> list[Unit]:
-    """Units of a body given as paragraphs; addresses in parentheses behind a sentence are left out."""
-    return [Unit(piece) for part in parts for piece in pieces(_INLINE.sub("", part) if "://" in part else part) if piece]
+def units(parts: Sequence[str], cut: Sequence[list[str]] | None = None) -> list[Unit]:
+    """Units of a body given as paragraphs; addresses in parentheses behind a sentence are left out.  ``cut`` holds the paragraphs' pieces."""
+    cut = list(map(pieces, parts)) if cut is None else cut
+    return [Unit(piece) for part, known in zip(parts, cut) for piece in (pieces(_INLINE.sub("", part)) if "://" in part or "www." in part else known) if piece]
 
 
 def tokens(text: str) -> list[str]:
     """Lower-cased words.  Korean words are cut to their first two syllables, Japanese is cut where its scripts change, and Chinese (Han letters without kana) into pairs of characters."""
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    if not _EAST.search(text):
+        return _LATIN_WORD.findall(text.lower())
     found = _WORD.findall(text.lower())
-    if text.isascii() or not _EAST.search(text):
-        return found
     if _HANGUL.search(text):
         return [w[:2] if "가" <= w[0] <= "힣" else w for w in found]
     if _KANA.search(text):
@@ -104,42 +122,53 @@ def pieces(text: str) -> list[str]:
     return out or [text]
 
 
-def describe(parts: list[Unit], common: frozenset[str]) -> None:
-    """Set the kind of every unit.
+def describe(parts: list[Unit], common: frozenset[str]) -> Counter:
+    """Set the words and the kind of every unit; returns the counts of the words.
 
     A word that isn't common and recurs far more than a text needs is a keyword of the body; a unit that is mostly made
     of them is stuffed even where it is punctuated like prose.
     """
     counts: Counter = Counter()
     for unit in parts:
-        unit.words = tokens(_URL.sub(" ", unit.text) if "www." in unit.text or "://" in unit.text else unit.text)
+        if _DIGIT.search(unit.text) or "://" in unit.text or "www." in unit.text:
+            unit.marked = tokens(_MARKED.sub(_mark, unit.text))
+            unit.words = [w for w in unit.marked if w not in MARKS]
+        else:
+            unit.words = unit.marked = tokens(unit.text)
+        unit.common = sum([w in common for w in unit.words])
+        unit.ended = ends_sentence(unit.text)
         counts.update(unit.words)
-    least = max(4, DOMINANT * sum(counts.values()))
-    dominant = {w for w, n in counts.items() if n >= least and len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"}
+    dominant = keywords(counts, DOMINANT, common)
     for unit in parts:
-        unit.kind = _kind(unit, dominant, common)
+        unit.kind = _kind(unit, dominant)
     for i, unit in enumerate(parts):
         if unit.kind == HEADING:
             near = [parts[k].kind for k in (i - 1, i + 1) if 0 <= k < len(parts)]
             # A heading stands by itself; rows of such lines are a list.
             if near and all(k in _ROWED for k in near):
                 unit.kind = LIST if _DIGIT.search(unit.text) or _BULLET.match(unit.text) else ROWS
+    return counts
+
+
+def keywords(counts: Counter, share: float, common: frozenset[str]) -> set[str]:
+    """The words that aren't common and make up such a share of all words."""
+    least = max(4, share * sum(counts.values()))
+    return {w for w, n in counts.items() if n >= least and len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"}
 
 
 #: Kinds that may stand above and below a bare line of a list.
 _ROWED = (HEADING, KEYWORDS, LIST, PRODUCTS, LINKS, ROWS)
 
 
-def _kind(unit: Unit, dominant: set[str], common: frozenset[str]) -> int:
-    text, words = unit.text, unit.words
+def _kind(unit: Unit, dominant: set[str]) -> int:
+    text, words, ended = unit.text, unit.words, unit.ended
     size = len(text)
-    ended = ends_sentence(text)
-    spaced = not _CJK.search(text)
-    hangul = spaced and _HANGUL.search(text) is not None
-    share = sum([w in common for w in words]) / len(words) if words else 0.0
+    share = unit.common / len(words) if words else 0.0
     stuffed = len(words) >= 2 and bool(dominant) and sum([w in dominant for w in words]) >= (0.24 if ended else 0.4) * len(words)
-    if ended and spaced and share >= 0.15 and not stuffed and size >= 40 and not _SUSPECT.search(text):
+    spaced = text.isascii() or not _CJK.search(text)
+    if ended and not stuffed and size >= 40 and (share >= 0.15 if spaced else len(_SYMBOL.findall(text)) <= 0.2 * size) and not _SUSPECT.search(text) and "://" not in text and "www." not in text:
         return PROSE
+    hangul = spaced and _HANGUL.search(text) is not None
     if "www." in text or "://" in text:
         url = sum(map(len, _URL.findall(text)))
         rest = _URL.sub(" ", text)

@@ -229,7 +229,7 @@ def languages(pages: DataFrame, documents: DataFrame, words: DataFrame, *, train
         def keyed():
             for url, page, text in read:
                 size = sum(len(u.text) for u in page.units)
-                yield (url, page.residue, size, vote(page.units, page.kinds, common)), text, page.forms
+                yield (url, page.residue, size, vote(page, common)), text, page.forms
 
         rows: list[tuple] = []
         for key, lang, confidence, lines in judge(profiles, keyed()):

@@ -106,7 +106,7 @@ _HINTS = (
     "|went wrong|reference |schiefgelaufen|algo salió|algo deu|問題が発生|문제가 발생|出了点问题"
     "|warning:|notice:|deprecated:|오류|エラー|错误|お探し"
     # the states of the grammar, and what announces an incident number
-    "|not be |not available|no longer|not exist|n't exist|unreachable|inaccessible|timed out|timeout|time out|refused|rejected|failed|overload|nicht |abgelaufen|gesperrt|abgelehnt|fehlgeschlagen|überlastet|expir|suspend|rejet|échoué|surcharg|no está|no dispon|encuentra|caducad|rechazad|fallado|sobrecarga|não |suspens|recusad|rejeitad|falhou|sobrecarreg"
+    "|not be |not available|no longer|not exist|n't exist|unreachable|inaccessible|timed out|timeout|time out|refused|rejected|failed|overload|nicht verf|nicht err|nicht vorh|nicht mehr|abgelaufen|gesperrt|abgelehnt|fehlgeschlagen|überlastet|expir|suspend|rejet|échoué|surcharg|no está|no dispon|encuentra|caducad|rechazad|fallado|sobrecarga|não está|não foi|não dispon|suspens|recusad|rejeitad|falhou|sobrecarreg"
     "|存在し|利用でき|できません|期限切れ|停止|失敗|拒否|不可用|无法|过期|停用|失败|被拒|超时|존재하지|사용할 수 없|이용할 수 없|만료|정지|실패|거부|incident|reference|code|trace|fehlernummer|vorgang|référence|referencia|referência|código|编号|代码|番号|コード|번호|코드"
 ).split("|")
 _HINTED = ahocorasick.Automaton()
@@ -203,7 +203,7 @@ def messages(part: str) -> int:
 
 
 def _residue(part: str, filler: bool) -> bool:
-    if any(v in part for v in ("undefined", "null", "NaN", "None", "nil", "[object", "N/A")) and sum(map(len, _EMPTY_VALUE.findall(part))) * 2 > len(part):
+    if ("undefined" in part or "null" in part or "NaN" in part or "None" in part or "nil" in part or "[object" in part or "N/A" in part) and sum(map(len, _EMPTY_VALUE.findall(part))) * 2 > len(part):
         return True
     if messages(part) * REACH >= len(part) or _FILLER.match(part):
         return True

@@ -18,8 +18,6 @@ neighbours is one 64-bit key.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -41,22 +39,29 @@ RECURS, EXCESS = 3, 1.5
 #: A word is a keyword of a sentence's body from such a share of the words, and the sentence suspect from such a share of keywords.
 KEYWORD, SUSPECT = 0.05, 0.15
 
-# What counts as one word: addresses, article numbers, other numbers.
-_MARKED = re.compile(r"(?:https?://|www\.)[^\s)\]]+|\b[A-Z]{2,4}-\d{3,}\b|\d[\d.,:%°]*")
-_HAS_MARK = re.compile(r"\d|www\.|://")
-
 _ROWS = "url string, pair long, n long, size long"
 _SCHEMA = pa.schema([("url", pa.string()), ("pair", pa.int64()), ("n", pa.int64()), ("size", pa.int64())])
 
 
-def _mark(found: re.Match) -> str:
-    text = found[0]
-    return " aaurl " if text[0] in "hw" else " aasku " if text[0].isalpha() else " aanum "
+class _Ids(dict):
+    """Hashes of words; those seen are kept, up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = xxhash.xxh32_intdigest(word)
+        return value
 
 
-def neighbours(unit: bodies.Unit) -> list[str]:
-    """The words of a unit with addresses and numbers as one word each."""
-    return bodies.tokens(_MARKED.sub(_mark, unit.text)) if _HAS_MARK.search(unit.text) else unit.words
+def _pairs(units: list[list[str]], known: _Ids) -> np.ndarray:
+    """Keys of the neighbouring pairs within each unit: the left word's hash in the upper half, the right one's in the lower."""
+    ids = np.array([known[w] for unit in units for w in unit], dtype=np.int64)
+    if len(ids) < 2:
+        return ids[:0]
+    with np.errstate(over="ignore"):
+        pairs = (ids[:-1] << 32) | ids[1:]
+    ends = np.cumsum([len(unit) for unit in units])[:-1] - 1
+    return np.delete(pairs, ends[(ends >= 0) & (ends < len(pairs))])
 
 
 def suspect(page: Page, common: frozenset[str]) -> float:
@@ -64,43 +69,20 @@ def suspect(page: Page, common: frozenset[str]) -> float:
     total = sum(len(u.text) for u in page.units)
     if not total:
         return 0.0
-    counts: Counter = Counter()
-    for unit in page.units:
-        counts.update(unit.words)
-    least = max(4, KEYWORD * sum(counts.values()))
-    keywords = {w for w, n in counts.items() if n >= least and len(w) > 1 and w not in common and not "ぁ" <= w[0] <= "ゖ"}
+    words = bodies.keywords(page.counts, KEYWORD, common)
     held = 0
     for unit in page.units:
-        if unit.kind in STUFFED or unit.kind == bodies.PROSE and len(unit.words) >= 2 and sum([w in keywords for w in unit.words]) >= SUSPECT * len(unit.words):
+        if unit.kind in STUFFED or unit.kind == bodies.PROSE and len(unit.words) >= 2 and sum([w in words for w in unit.words]) >= SUSPECT * len(unit.words):
             held += len(unit.text)
     return held / total
 
 
-def _ids(words: list[str], known: dict[str, int]) -> np.ndarray:
-    out = []
-    for w in words:
-        i = known.get(w)
-        if i is None:
-            if len(known) > 500_000:
-                known.clear()
-            i = known[w] = xxhash.xxh32_intdigest(w)
-        out.append(i)
-    return np.array(out, dtype=np.int64)
-
-
-def _pairs(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """Keys of the neighbouring pairs of a unit: the left word's hash in the upper half, the right one's in the lower."""
-    ids = _ids(words, known)
-    with np.errstate(over="ignore"):
-        return (ids[:-1] << 32) | ids[1:]
-
-
 def _counted(read, common: frozenset[str]) -> Iterable[pa.RecordBatch]:
     """Rows (null, pair, n) summed over many pages, and (url, pair, n, all pairs) of each page that is mostly suspect.
 
     A page without neighbours has no rows.
     """
-    known: dict[str, int] = {}
+    known = _Ids()
     corpus: list[np.ndarray] = []
     held: list[tuple[str | None, np.ndarray, np.ndarray, int]] = []
     size = 0
@@ -121,12 +103,14 @@ def _counted(read, common: frozenset[str]) -> Iterable[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
     for url, page, _ in read:
-        own = [_pairs(words, known) for words in map(neighbours, page.units) if len(words) > 1]
-        corpus += own
-        size += sum(map(len, own))
-        if own and not page.replaced and suspect(page, common) > 0.5:  # filler repeats its words too
-            keys, n = np.unique(np.concatenate(own), return_counts=True)
-            held.append((url, keys, n, int(n.sum())))
+        own = _pairs([unit.marked for unit in page.units if unit.marked], known)
+        if not len(own):
+            continue
+        corpus.append(own)
+        size += len(own)
+        if not page.replaced and suspect(page, common) > 0.5:  # filler repeats its words too
+            keys, n = np.unique(own, return_counts=True)
+            held.append((url, keys, n, len(own)))
         if size > 2_000_000:
             yield flush()
             size = 0
