@@ -11,15 +11,20 @@ MOST_DELAY_MS = 120_000
 
 
 def failure_type(message: Column) -> Column:
-    """Class of a failure: http_429, http_5xx, dns, timeout, connection, else unknown; null stays null."""
-    low = F.lower(message)
+    """Class of a failure: http_429, http_5xx, dns, connection, timeout, else unknown; null stays null.
+
+    A status counts only as the whole message; error codes go before words, as a message may name both.
+    """
+    low = F.lower(F.trim(message))
     return (
         F.when(message.isNull(), F.lit(None).cast("string"))
-        .when(low.rlike(r"\bhttp 429\b"), "http_429")
-        .when(low.rlike(r"\bhttp 5\d\d\b"), "http_5xx")
-        .when(low.rlike(r"enotfound|eai_again|getaddrinfo|dns"), "dns")
-        .when(low.rlike(r"timeout|timed out|no answer in time|aborted"), "timeout")
-        .when(low.rlike(r"econnreset|econnrefused|epipe|socket|connection"), "connection")
+        .when(low.rlike(r"^http 429$"), "http_429")
+        .when(low.rlike(r"^http 5\d\d$"), "http_5xx")
+        .when(low.rlike(r"\b(?:enotfound|eai_again|enodata)\b"), "dns")
+        .when(low.rlike(r"\b(?:econnrefused|econnreset|econnaborted|epipe|enetunreach|ehostunreach)\b"), "connection")
+        .when(low.rlike(r"\b(?:timeout|timed out|operation was aborted|no answer in time)\b"), "timeout")
+        .when(low.rlike(r"\bgetaddrinfo\b"), "dns")
+        .when(low.rlike(r"\bsocket (?:closed|hang up)"), "connection")
         .otherwise("unknown")
     )
 

@@ -53,8 +53,8 @@ def canonicalize(url: Column) -> Column:
 
 
 def is_public_address(address: Column) -> Column:
-    """Whether an IP address (v4, v6, or v4 mapped into v6) is on the public Internet."""
-    mapped = F.regexp_replace(F.lower(address), r"^::ffff:(?=\d+\.)", "")
+    """Whether an IP address (v4, v6, or v4 written into v6 as ``::ffff:a.b.c.d`` or ``::a.b.c.d``) is on the public Internet."""
+    mapped = F.regexp_replace(F.lower(address), r"^::(?:ffff:)?(?=\d+\.)", "")
     in_range = F.forall(F.split(mapped, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)
     return F.when(mapped.rlike(_V4), in_range & ~mapped.rlike(PRIVATE_V4)).otherwise(mapped.contains(":") & ~mapped.rlike(PRIVATE_V6))
 

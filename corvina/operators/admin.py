@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvina.functions import crawl as cr
 from corvina.functions.urls import host
 from corvina.operators.frontier import STATES, STATUSES
+from corvina.operators.skew import heavy_light_join
+from corvina.session import MOST_SENT, sent_if_small, stage
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:
@@ -53,9 +55,19 @@ def sweep(documents: DataFrame, links: DataFrame, jobs: DataFrame, frontier: Dat
 
 
 def without_links(links: DataFrame, urls: DataFrame) -> DataFrame:
-    """Links that neither start nor end at any of ``urls``."""
-    kept = links.join(urls.withColumnRenamed("url", "source_url"), "source_url", "left_anti")
-    return kept.join(urls.withColumnRenamed("url", "target_url"), "target_url", "left_anti").select("source_url", "target_url")
+    """Links that neither start nor end at any of ``urls``.
+
+    The addresses that go are joined by broadcast where they are few enough by count.  Otherwise the links are joined by
+    shuffle, those to a target that holds many of them apart (``heavy_light_join``).
+    """
+    gone = sent_if_small(urls.select(F.col("url").alias("target_url")).where("target_url IS NOT NULL").distinct(), "gone")
+    kept = links.select("source_url", "target_url").join(gone.withColumnRenamed("target_url", "source_url"), "source_url", "left_anti")
+    if gone.isEmpty() or gone.count() <= MOST_SENT:
+        return kept.join(gone, "target_url", "left_anti").select("source_url", "target_url")
+    kept = stage(kept, "links")
+    weights = kept.groupBy("target_url").agg(F.count("*").alias("weight")).join(gone.withColumn("gone", F.lit(True)), "target_url", "left")
+    marked = heavy_light_join(kept, weights, "target_url", "weight", kept.count(), how="left")
+    return marked.where("gone IS NULL").select("source_url", "target_url")
 
 
 def block_domains(documents: DataFrame, links: DataFrame, jobs: DataFrame, frontier: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:

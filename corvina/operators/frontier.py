@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvina.functions import crawl as cr
 from corvina.functions.urls import host
 from corvina.operators.index import latest
+from corvina.session import stage
 
 STATES = ("queued", "processing", "fetched", "failed")
 STATUSES = ("queued", "running", "paused", "complete", "failed", "cancelled")
@@ -191,13 +192,15 @@ def rate_limit(requests: DataFrame, limit: int = 120, window_ms: int = 60_000) -
 def crawl_levels(edges: DataFrame, seeds: DataFrame, most_depth: int) -> DataFrame:
     """(url, depth) of pages reached from ``seeds`` (url) by following links, breadth first, at most ``most_depth`` steps.
 
-    One join per level on the new pages only; the number of levels is a parameter of the crawl.
+    One join per level on the new pages only; the number of levels is a parameter of the crawl.  Every level is staged,
+    so a level is computed once and the plan doesn't grow with the depth; it ends early when a level is empty.
     """
-    edges = edges.where("source_url IS NOT NULL AND target_url IS NOT NULL").distinct()
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    new = seen
+    edges = stage(edges.where("source_url IS NOT NULL AND target_url IS NOT NULL").select("source_url", "target_url").distinct(), "edges")
+    seen = new = stage(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     for depth in range(1, most_depth + 1):
         step = edges.join(new.select(F.col("url").alias("source_url")), "source_url", "left_semi").select(F.col("target_url").alias("url")).distinct()
-        new = step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
+        new = stage(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if new.isEmpty():
+            break
         seen = seen.unionByName(new)
     return seen

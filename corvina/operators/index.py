@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvina.operators.search import postings
+from corvina.operators import search
 
 #: Links of a page that are indexed.
 MOST_LINKS = 100
@@ -73,10 +76,56 @@ def first_links(links: DataFrame, most: int) -> DataFrame:
     return partial.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= most).select("source_url", "target_url")
 
 
-def compact(documents: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write the postings in ``buckets`` folders by token, sorted, so that a query's tokens prune folders and row groups."""
-    rows = postings(documents).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "token", "url").write.partitionBy("bucket").mode("overwrite").parquet(path)
+#: Tokens of a file of the stored postings, about.
+FILE_TOKENS = 4_000_000
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A stored index: postings and n-grams in folders by the token's first character, corpus statistics, link authority."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def postings(self) -> DataFrame:
+        """One row per occurrence, as ``search.hits`` takes them: it brings a document's positions together itself."""
+        return self.spark.read.parquet(f"{self.path}/postings").withColumn("positions", F.array("pos")).drop("pos")
+
+    @property
+    def grams(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/grams")
+
+    @property
+    def statistics(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/statistics")
+
+    @property
+    def authority(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/authority")
+
+
+def _by_token(rows: DataFrame, files: int, path: str) -> None:
+    """Rows in ``files`` ranges of (folder, token, url), each sorted: a token of any frequency may fill several files, a rare one shares its own."""
+    held = rows.withColumn("lead", search.lead(F.col("token")))
+    held.repartitionByRange(files, "lead", "token", "url").sortWithinPartitions("lead", "token", "url").write.partitionBy("lead").mode("overwrite").parquet(path)
+
+
+def build(documents: DataFrame, links: DataFrame, quality: DataFrame, path: str, file_tokens: int = FILE_TOKENS) -> Stored:
+    """Write the index of (url, title, text) below ``path``; ``links`` and ``quality`` (url, quality_score) give the authority.
+
+    Occurrences are shuffled once, to their place in the order of tokens.
+    A query's tokens prune folders by their first character and row groups by their sorted tokens, also for a prefix.
+    The number of files follows the number of tokens, and hot tokens are split over files.
+    """
+    spark = documents.sparkSession
+    search.corpus_stats(search.document_lengths(documents)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    row = spark.read.parquet(f"{path}/statistics").first()
+    files = max(1, math.ceil((row.n or 0) * (row.avgdl or 0.0) / file_tokens))
+    _by_token(search.occurrences(documents), files, f"{path}/postings")
+    _by_token(search.ngram_postings(documents), files, f"{path}/grams")
+    search.authority(links, quality).write.mode("overwrite").parquet(f"{path}/authority")
+    return Stored(spark, path)
 
 
 def out_degree(links: DataFrame) -> DataFrame:

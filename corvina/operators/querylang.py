@@ -270,19 +270,22 @@ def terms(tree: object) -> set[tuple[str, bool]]:
     return terms(tree.left) | terms(tree.right)
 
 
-EAST = re.compile("[가-힣ぁ-ゖァ-ヺー㐀-鿿]")
-_EAST_WORD = re.compile("[가-힣]+|[ぁ-ゖァ-ヺー㐀-鿿]+")
+_WORD = re.compile(r"[^\W_]+")
+_HANGUL_WORD = re.compile("[\uac00-\ud7a3]+")
+_EAST = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 def fallback_tokens(query: str, suffixes: tuple[str, ...]) -> list[str]:
-    """One- and two-character n-grams of the Hangul (stemmed), kana and Han words of a query, each once, in order."""
+    """One- and two-character n-grams of the Hangul words (stemmed) and of those with kana or Han of a query, each once, in order."""
     out: dict[str, None] = {}
-    for word in _EAST_WORD.findall(query):
-        if "가" <= word[0] <= "힣":
+    for word in _WORD.findall(unicodedata.normalize("NFKC", query).lower()):
+        if _HANGUL_WORD.fullmatch(word):
             for suffix in suffixes:
                 if word.endswith(suffix) and len(word) > len(suffix) + 1:
                     word = word[: -len(suffix)]
                     break
+        elif not _EAST.search(word):
+            continue
         for i in range(len(word)):
             out[word[i]] = None
             if i + 2 <= len(word):

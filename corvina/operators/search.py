@@ -1,8 +1,8 @@
 """Full-text search: postings, evaluation of query trees, BM25, the combined score, filters, facets and suggestions.
 
-Documents are ``(url, title, text)``.  ``postings`` is the gold table; a query reads the rows of its own tokens only.
-Positions of a document's query tokens come together by one aggregation on the url, and the whole tree is evaluated on
-those arrays with built-in expressions.
+Documents are ``(url, title, text)``.  ``postings`` is the gold table (``index.build`` writes it sorted by token); a query
+reads the rows of its own tokens only.  Positions of a document's query tokens come together by one aggregation on the
+url, and the whole tree is evaluated on those arrays with built-in expressions.
 """
 
 from __future__ import annotations
@@ -32,10 +32,27 @@ MOST_INBOUND, MOST_OUTBOUND = 8, 50
 COLUMNS = ("title", "text")
 
 
+def occurrences(documents: DataFrame) -> DataFrame:
+    """(token, url, field, pos, length): every token where it stands, and how long its document is.  Null titles and texts have no tokens."""
+    held = documents.select("url", *[tx.tokens(F.col(c)).alias(c) for c in COLUMNS])
+    length = reduce(Column.__add__, [F.size(c) for c in COLUMNS])
+    rows = held.select("url", length.alias("length"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("tokens")) for c in COLUMNS])).alias("f"))
+    return rows.select("url", "length", "f.field", F.posexplode("f.tokens").alias("pos", "token")).select("token", "url", "field", "pos", "length")
+
+
 def postings(documents: DataFrame) -> DataFrame:
-    """(token, url, field, positions): where each token stands.  Null titles and texts have no tokens."""
-    fields = [documents.select("url", F.lit(c).alias("field"), F.posexplode(tx.tokens(F.col(c))).alias("pos", "token")) for c in COLUMNS]
-    return reduce(DataFrame.unionByName, fields).groupBy("token", "url", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(token, url, field, positions, length): the occurrences of each token in each field together."""
+    grouped = occurrences(documents).groupBy("token", "url", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
+    return grouped.select("token", "url", "field", "positions", "length")
+
+
+def term_statistics(documents: DataFrame) -> DataFrame:
+    """(token, df, cf): documents and occurrences of every token, summed before they are shuffled."""
+    held = documents.select(reduce(F.concat, [tx.tokens(F.col(c)) for c in COLUMNS]).alias("tokens"))
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    each = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    rows = held.select(F.explode(F.concat(once, each)).alias("x")).select("x.*")
+    return rows.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def document_lengths(documents: DataFrame) -> DataFrame:
@@ -106,17 +123,34 @@ def _near(tree: ql.Near, field: str) -> Column:
     return reduce(Column.__or__, [anchored(a) for a in range(len(starts))])
 
 
-def _slots(posts: DataFrame, tree: object) -> DataFrame:
-    """(url, slots): for each document with any token of the query, a map from field and token to positions."""
+#: Folders of a stored index, by the first character of the token.
+LEADS = 64
+
+
+def lead(token: Column) -> Column:
+    """The folder of a token."""
+    return F.pmod(F.ascii(token), F.lit(LEADS))
+
+
+def _wanted_rows(posts: DataFrame, tree: object) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """The postings of a query's tokens: comparisons that prune folders and row groups of a stored index."""
     wanted = sorted(ql.terms(tree))
     exact = [t for t, prefix in wanted if not prefix]
     conditions = ([F.col("token").isin(*exact)] if exact else []) + [F.col("token").startswith(t) for t, prefix in wanted if prefix]
     rows = posts.where(reduce(Column.__or__, conditions) if conditions else F.lit(False))
+    if "lead" in posts.columns and wanted:
+        rows = rows.where(F.col("lead").isin(*sorted({ord(t[0]) % LEADS for t, _ in wanted})))
+    return rows, wanted
+
+
+def _slots(posts: DataFrame, tree: object) -> DataFrame:
+    """(url, length, slots): for each document with any token of the query, a map from field and token to positions."""
+    rows, wanted = _wanted_rows(posts, tree)
     names = F.array_compact(
         F.array(*[F.when(F.col("token").startswith(t) if prefix else F.col("token") == t, F.concat("field", F.lit(f":{t}{'*' if prefix else ''}"))) for t, prefix in wanted])
     ) if wanted else F.array().cast("array<string>")
-    slots = rows.select("url", F.explode(names).alias("slot"), "positions").groupBy("url", "slot").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return slots.groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("slot", "positions"))).alias("slots"))
+    slots = rows.select("url", "length", F.explode(names).alias("slot"), "positions").groupBy("url", "slot").agg(F.max("length").alias("length"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return slots.groupBy("url").agg(F.max("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("slot", "positions"))).alias("slots"))
 
 
 def _measures(tree: object, weights: Sequence[float]) -> list[Column]:
@@ -141,18 +175,17 @@ def _scored(matching: DataFrame, statistics: DataFrame, phrases: int) -> DataFra
     return rows.select("url", F.round(sum(terms, F.lit(0.0)), 9).alias("bm25"))
 
 
-def hits(posts: DataFrame, lengths: DataFrame, query: str | object, weights: Sequence[float] = (8.0, 1.0)) -> DataFrame:
-    """(url, bm25) of the documents that match a query; higher is better.
+def hits(posts: DataFrame, statistics: DataFrame, query: str | object, weights: Sequence[float] = (8.0, 1.0)) -> DataFrame:
+    """(url, bm25) of the documents that match a query, from postings and the one row of ``corpus_stats``; higher is better.
 
     The frequency of a phrase is the weighted sum of its occurrences in title and text; a repeated term counts as often
     as it is written.  Document frequencies, the number of documents and the mean length cover the whole corpus.
     """
     tree = ql.parse(query) if isinstance(query, str) else query
     phrases = len(ql.phrases(tree))
-    measured = _slots(posts, tree).select("url", *_measures(tree, weights))
+    measured = _slots(posts, tree).select("url", "length", *_measures(tree, weights))
     found = measured.agg(*[F.count(F.when(F.col(f"h{i}"), 1)).alias(f"n{i}") for i in range(phrases)], F.lit(1).alias("one"))
-    statistics = corpus_stats(lengths).crossJoin(found)  # one row each
-    return _scored(measured.where("is_match").join(lengths, "url"), statistics, phrases)
+    return _scored(measured.where("is_match"), statistics.crossJoin(found), phrases)  # one row each
 
 
 def hits_by_scan(documents: DataFrame, query: str | object, weights: Sequence[float] = (8.0, 1.0)) -> DataFrame:
@@ -180,13 +213,18 @@ def hits_by_scan(documents: DataFrame, query: str | object, weights: Sequence[fl
 
 
 def authority(links: DataFrame, documents: DataFrame) -> DataFrame:
-    """(url, inbound): distinct links into each document from documents of quality at least 0 with at most MOST_OUTBOUND links out, self-links left out, MOST_INBOUND at most."""
-    edges = links.where(F.col("source_url").isNotNull() & F.col("target_url").isNotNull()).distinct()
+    """(url, inbound): distinct links into each document from documents of quality at least 0 with at most MOST_OUTBOUND links out, self-links left out, MOST_INBOUND at most.
+
+    Links are joined to their sources, none of which has many that count, and then summed per target with map-side
+    combining; only those sums, one row per target, meet the documents, so a target that a tenth of all links point to
+    is one row there.
+    """
+    edges = links.where(F.col("source_url").isNotNull() & F.col("target_url").isNotNull()).select("source_url", "target_url").distinct()
     out = edges.groupBy("source_url").agg(F.count("*").alias("outbound")).where(F.col("outbound") <= MOST_OUTBOUND)
     sources = documents.where("quality_score >= 0").select(F.col("url").alias("source_url")).join(out.select("source_url"), "source_url", "left_semi")
-    targets = documents.select(F.col("url").alias("target_url"))
-    kept = edges.where("source_url <> target_url").join(targets, "target_url", "left_semi").join(sources, "source_url", "left_semi")
-    return kept.groupBy(F.col("target_url").alias("url")).agg(F.least(F.count("*"), F.lit(MOST_INBOUND)).alias("inbound"))
+    kept = edges.where("source_url <> target_url").join(sources, "source_url", "left_semi")
+    counted = kept.groupBy(F.col("target_url").alias("url")).agg(F.least(F.count("*"), F.lit(MOST_INBOUND)).alias("inbound"))
+    return counted.join(documents.select("url"), "url", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -261,20 +299,41 @@ def token_table(documents: DataFrame) -> DataFrame:
     return documents.select("url", F.array_union(tx.search_tokens(F.col("title")), tx.search_tokens(F.col("text"))).alias("tokens"))
 
 
-def with_fallback(primary: DataFrame, token_rows: DataFrame, query: str) -> DataFrame:
+def ngram_postings(documents: DataFrame) -> DataFrame:
+    """(token, url) of every search token: what the fallback reads."""
+    return token_table(documents).select(F.explode("tokens").alias("token"), "url")
+
+
+def with_fallback(primary: DataFrame, grams: DataFrame, query: str) -> DataFrame:
     """``primary`` (url, bm25); only if it is empty and the query has Hangul, kana or Han, the documents holding all its n-grams, with a score of 0.
 
-    Whether it is empty is decided inside the plan, by a single flag.
+    Only the rows (token, url) of the query's own n-grams are read.  Whether ``primary`` is empty is decided inside the
+    plan, by a single flag.
     """
     wanted = ql.fallback_tokens(query, tx.KOREAN_SUFFIXES)
     if not wanted:
         return primary
     none = primary.limit(1).agg((F.count("*") == 0).alias("is_empty"))
-    held = token_rows.where(F.forall(F.array(*[F.lit(w) for w in wanted]), lambda w: F.array_contains("tokens", w)))
+    rows = grams.where(F.col("token").isin(*wanted))
+    if "lead" in grams.columns:
+        rows = rows.where(F.col("lead").isin(*sorted({ord(t[0]) % LEADS for t in wanted})))
+    held = rows.groupBy("url").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(wanted))
     other = held.crossJoin(F.broadcast(none)).where("is_empty").select("url", F.lit(0.0).alias("bm25"))
     return primary.unionByName(other)
 
 
+def hit_counts(primary: DataFrame, grams: DataFrame, query: str) -> DataFrame:
+    """One row (hits, is_fallback): how many documents a search shows, by the fallback where nothing else is found."""
+    rows = with_fallback(primary.select("url", "bm25"), grams, query)
+    counts = rows.agg(F.count("*").alias("hits"))
+    return counts.crossJoin(primary.limit(1).agg((F.count("*") == 0).alias("is_fallback")))  # one row each
+
+
+def title_preview(rows: DataFrame, most: int = 180) -> DataFrame:
+    """``rows`` with ``preview``: the title cut to ``most`` characters, for hits by n-grams, whose texts hold no term to mark."""
+    return rows.withColumn("preview", F.substring(F.coalesce("title", F.lit("")), 1, most))
+
+
 def suggestions(documents: DataFrame, prefix: str, most: int = 8) -> DataFrame:
     """(suggestion): titles that begin with a prefix, newest first, each followed by its host; titles once whatever their case."""
     clean = "".join(c for c in prefix if c not in '"*^():').strip()

@@ -181,12 +181,21 @@ _CUR = "cur AS (SELECT * FROM frontier QUALIFY row_number() OVER (PARTITION BY j
 _FREE = f"((state = 'queued' AND available_at <= {NOW_MS}) OR (state = 'processing' AND lease_expires_at <= {NOW_MS}))"
 _STATUSES = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in frontier.STATUSES)
 _STATES = ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in frontier.STATES)
-_FAILURE = r"""CASE WHEN regexp_matches(lower(last_error), '\bhttp 429\b') THEN 'http_429' WHEN regexp_matches(lower(last_error), '\bhttp 5[0-9][0-9]\b') THEN 'http_5xx' WHEN regexp_matches(lower(last_error), 'enotfound|eai_again|getaddrinfo|dns') THEN 'dns'
-    WHEN regexp_matches(lower(last_error), 'timeout|timed out|no answer in time|aborted') THEN 'timeout' WHEN regexp_matches(lower(last_error), 'econnreset|econnrefused|epipe|socket|connection') THEN 'connection' ELSE 'unknown' END"""
+_FAILURE = "failure_type"  # as the crawler stored it: what the classes are held against
 _UHOST = r"lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"
 _GLOB = r"regexp_matches(url, '(?i)^' || replace(regexp_replace(p, '([.+^${}()|\[\]\\?])', '\\\1', 'g'), '*', '.*') || '$')"
 
+_ACTION = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' END"
+
 ORACLE: dict[str, str] = {
+    "job_lifecycle_fold": f"""WITH a AS (SELECT user_id AS job_id, list({_ACTION} ORDER BY event_id) AS acts FROM events GROUP BY user_id)
+        SELECT job_id, list_reduce(list_prepend('queued', acts), lambda s, x: CASE WHEN x = 'pause' AND s IN ('queued', 'running') THEN 'paused' WHEN x = 'resume' AND s = 'paused' THEN 'queued'
+          WHEN x = 'start' AND s = 'queued' THEN 'running' WHEN x = 'finish' AND s = 'running' THEN 'complete' WHEN x = 'fail' AND s = 'running' THEN 'failed' ELSE s END) AS status FROM a""",
+    "rate_limit_fixed_window": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_ms(CAST(ts AS TIMESTAMP)) AS t, event_id FROM events),
+        l AS (SELECT client, count(*) AS requests, list({'t': t, 'began': CAST(NULL AS BIGINT), 'used': 0, 'ok': 0} ORDER BY t, event_id) AS rows FROM e GROUP BY client),
+        r AS (SELECT client, requests, list_reduce(list_prepend({'t': CAST(0 AS BIGINT), 'began': CAST(NULL AS BIGINT), 'used': 0, 'ok': 0}, rows), lambda s, x: CASE WHEN s.began IS NULL OR x.t - s.began >= 3600000
+          THEN {'t': x.t, 'began': x.t, 'used': 1, 'ok': s.ok + 1} ELSE {'t': x.t, 'began': s.began, 'used': s.used + 1, 'ok': s.ok + CAST(s.used < 3 AS INTEGER)} END) AS s FROM l)
+        SELECT client, requests, CAST(s.ok AS BIGINT) AS allowed FROM r""",
     "job_status_summary": f"SELECT {_STATUSES}, count(*) AS total FROM crawl_jobs",
     "frontier_summary": f"""WITH {_CUR} SELECT job_id, count(*) AS total, {_STATES}, count(*) FILTER (attempts > 0) AS attempted, CAST(coalesce(sum(attempts), 0) AS BIGINT) AS attempts_made,
         CAST(coalesce(sum(CASE WHEN attempts > 1 THEN attempts - 1 END), 0) AS BIGINT) AS retries, count(*) FILTER (state = 'queued' AND attempts > 0) AS retrying,

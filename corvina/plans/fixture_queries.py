@@ -156,7 +156,7 @@ def delete_domain(spark: SparkSession, d: str) -> DataFrame:
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     """Documents by a tree of columns, phrases and exclusions over the index."""
     docs = table(spark, d, "document_search").groupBy("url").agg(F.max(F.struct("text", "title")).alias("r")).select("url", "r.title", "r.text")
-    return search.hits(search.postings(docs), search.document_lengths(docs), '(title:orchard OR "reliable bridge") NOT kiln').select("url")
+    return search.hits(search.postings(docs), search.corpus_stats(search.document_lengths(docs)), '(title:orchard OR "reliable bridge") NOT kiln').select("url")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

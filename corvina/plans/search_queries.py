@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,30 +12,52 @@ from corvina.functions import text as tx
 from corvina.functions import urls as ur
 from corvina.operators import index, search
 from corvina.operators.search import Filters, by_date, by_relevance, page
-from corvina.session import table
+from corvina.session import drop_at_exit, sent_if_small, shared_folder, spread, table
 
 #: The day all freshness is measured against.
 NOW = "2031-03-20"
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """(url, title, text), a page that is stored twice once."""
-    return table(spark, d, "document_search").groupBy("url").agg(F.max(F.struct("text", "title")).alias("r")).select("url", "r.title", "r.text")
+    """(url, title, text), a page that is stored twice once; only the rows of such pages are shuffled."""
+    rows = spread(table(spark, d, "document_search").select("url", "title", "text"), "url")
+    several = sent_if_small(rows.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url"), "urls")
+    twice = rows.join(several, "url", "left_semi").groupBy("url").agg(F.max(F.struct("text", "title")).alias("r")).select("url", "r.title", "r.text")
+    return rows.where("url IS NOT NULL").join(several, "url", "left_anti").unionByName(twice)
+
+
+_BUILT: dict[tuple[str, str], index.Stored] = {}
+
+
+def stored(spark: SparkSession, d: str) -> index.Stored:
+    """The index of a directory's tables: built by the first search of an application, read by all others."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        documents = table(spark, d, "documents").select("url", "quality_score")
+        path = f"{shared_folder(spark)}/corvina-index-{uuid.uuid4().hex}"
+        _BUILT[key] = index.build(corpus(spark, d), table(spark, d, "document_links"), documents, path)
+        drop_at_exit(spark, path)
+    return _BUILT[key]
 
 
 def _hits(spark: SparkSession, d: str, query: str, weights: tuple[float, float] = (8.0, 1.0)) -> DataFrame:
-    return search.hits_by_scan(corpus(spark, d), query, weights)
+    held = stored(spark, d)
+    return search.hits(held.postings, held.statistics, query, weights)
+
+
+def scanned_search(spark: SparkSession, d: str) -> DataFrame:
+    """A query over the texts instead of the index: what the index is checked against."""
+    return search.hits_by_scan(corpus(spark, d), '"side by side" OR orchard').select("url", F.round("bm25", 6).alias("bm25"))
 
 
 def indexed_search(spark: SparkSession, d: str) -> DataFrame:
-    """A query over the postings instead of the texts."""
-    docs = corpus(spark, d)
-    return search.hits(search.postings(docs), search.document_lengths(docs), '"side by side" OR orchard').select("url")
+    """The same query over the stored postings."""
+    return _hits(spark, d, '"side by side" OR orchard').select("url")
 
 
 def _ranked(spark: SparkSession, d: str, query: str, filters: Filters = Filters()) -> DataFrame:
     documents = table(spark, d, "documents")
-    return search.ranked(_hits(spark, d, query), documents, search.authority(table(spark, d, "document_links"), documents), query, NOW, filters)
+    return search.ranked(_hits(spark, d, query), documents, stored(spark, d).authority, query, NOW, filters)
 
 
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
@@ -108,11 +131,24 @@ def facet_dates(spark: SparkSession, d: str) -> DataFrame:
     return search.date_facet(rows)
 
 
+#: A Korean word with an ending it has nowhere in the corpus.
+_ENDING = "도서관처럼"
+
+
 def fallback_search(spark: SparkSession, d: str) -> DataFrame:
-    """A Korean term that only occurs with endings: found by the n-grams of its stem."""
-    docs = corpus(spark, d)
-    primary = search.hits_by_scan(docs, "도서관으로부터")
-    return search.with_fallback(primary, search.token_table(docs), "도서관으로부터").select("url")
+    """A Korean term that only occurs with other endings: found by the n-grams of its stem."""
+    return search.with_fallback(_hits(spark, d, _ENDING), stored(spark, d).grams, _ENDING).select("url")
+
+
+def fallback_count(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents that search shows, and that they come from the fallback."""
+    return search.hit_counts(_hits(spark, d, _ENDING), stored(spark, d).grams, _ENDING)
+
+
+def fallback_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in place of snippets for hits by n-grams."""
+    found = search.with_fallback(_hits(spark, d, _ENDING), stored(spark, d).grams, _ENDING)
+    return search.title_preview(found.join(table(spark, d, "documents").select("url", "title"), "url")).select("url", "preview")
 
 
 def suggestions_prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -127,8 +163,7 @@ def snippet_top20(spark: SparkSession, d: str) -> DataFrame:
 
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Documents and occurrences of every token of the index."""
-    rows = search.postings(corpus(spark, d))
-    return rows.groupBy("token", "url").agg(F.sum(F.size("positions")).alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return search.term_statistics(corpus(spark, d))
 
 
 def token_index(spark: SparkSession, d: str) -> DataFrame:
@@ -187,8 +222,8 @@ def page_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ranked_search, indexed_search, bm25_and_search, bm25_unweighted, boolean_or_not, phrase_search, near_search, initial_token, prefix_and_column, search_newest_page2, search_filtered, search_domain,
-        search_count, facet_domains, facet_dates, fallback_search, suggestions_prefix, snippet_top20, term_statistics, token_index, content_hash_dedupe, duplicate_pages, capped_authority,
+        ranked_search, indexed_search, scanned_search, bm25_and_search, bm25_unweighted, boolean_or_not, phrase_search, near_search, initial_token, prefix_and_column, search_newest_page2, search_filtered, search_domain,
+        search_count, facet_domains, facet_dates, fallback_search, fallback_count, fallback_preview, suggestions_prefix, snippet_top20, term_statistics, token_index, content_hash_dedupe, duplicate_pages, capped_authority,
         out_degree, quality_scores, detect_script, canonical_urls, public_targets, page_statistics,
     )
 }
@@ -231,7 +266,26 @@ def _combined(terms: tuple[str, ...], first: str, where: str = "") -> str:
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]*)', 1))"
 
+_SEARCH_WORDS = rf"""WITH {_CORPUS},
+    w AS (SELECT url, a, b, list_distinct(list_concat(a, b)) AS words FROM toks),
+    s AS (SELECT url, list_transform(words, lambda x: struct_pack(x := x, s := CASE WHEN regexp_full_match(x, '[\x{{AC00}}-\x{{D7A3}}]+') THEN regexp_replace(x, '^(.{{2,}}?)(?:{"|".join(tx.KOREAN_SUFFIXES)})$', '\1') WHEN regexp_matches(x, '[\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]') THEN x END)) AS words FROM w)"""
+_FALLBACK = _SEARCH_WORDS + ", hit AS (SELECT url FROM s WHERE NOT list_contains(list_transform(words, lambda w: w.x), '도서관처럼')" + "".join(f" AND len(list_filter(words, lambda w: w.x = '{g}' OR contains(w.s, '{g}'))) > 0" for g in ("도", "도서", "서", "서관", "관")) + ")"
+
 ORACLE: dict[str, str] = {
+    "fallback_search": _FALLBACK + " SELECT url FROM hit",
+    "fallback_count": _FALLBACK + " SELECT count(*) AS hits, true AS is_fallback FROM hit",
+    "fallback_preview": _FALLBACK + " SELECT url, substr(coalesce(title, ''), 1, 180) AS preview FROM hit JOIN documents USING (url)",
+    "token_index": _SEARCH_WORDS + """, g AS (SELECT url, unnest(words) AS w FROM s), t AS (SELECT url, w.x AS token FROM g UNION SELECT url, w.s FROM g WHERE w.s IS NOT NULL
+        UNION SELECT url, unnest(list_transform(range(1, length(w.s) + 1), lambda i: substr(w.s, i, 1))) FROM g WHERE w.s IS NOT NULL
+        UNION SELECT url, unnest(list_transform(range(1, length(w.s)), lambda i: substr(w.s, i, 2))) FROM g WHERE length(w.s) > 1)
+        SELECT d.url, CAST(count(t.token) AS INTEGER) AS search_tokens FROM docs d LEFT JOIN t ON t.url = d.url GROUP BY d.url""",
+    "scanned_search": f"""WITH {_CORPUS}, tf AS (SELECT url, len(a) + len(b) AS dl, {_tf('orchard')} AS g,
+          8.0 * len(list_filter(range(1, len(a) - 1), lambda i: a[i] = 'side' AND a[i + 1] = 'by' AND a[i + 2] = 'side'))
+          + len(list_filter(range(1, len(b) - 1), lambda i: b[i] = 'side' AND b[i + 1] = 'by' AND b[i + 2] = 'side')) AS f FROM toks),
+        df AS (SELECT count(*) FILTER (f > 0) AS m, count(*) FILTER (g > 0) AS k FROM tf),
+        i AS (SELECT greatest(ln((n - m + 0.5) / (m + 0.5)), 0) AS fi, greatest(ln((n - k + 0.5) / (k + 0.5)), 0) AS gi, avgdl FROM df, st)
+        SELECT url, round(round((CASE WHEN fi = 0 THEN 1e-6 ELSE fi END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) + (CASE WHEN gi = 0 THEN 1e-6 ELSE gi END) * g * 2.2 / (g + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9), 6) AS bm25
+        FROM tf, i WHERE f > 0 OR g > 0""",
     "ranked_search": _combined(("orchard", "bridge"), "orchard") + " SELECT url, title, indexed_at, score FROM ranked ORDER BY score DESC, indexed_at DESC, url LIMIT 20",
     "indexed_search": f"WITH {_CORPUS} SELECT url FROM toks WHERE list_contains(list_concat(a, b), 'orchard') OR len(list_filter(range(1, len(a) - 1), lambda i: a[i] = 'side' AND a[i + 1] = 'by' AND a[i + 2] = 'side')) > 0 OR len(list_filter(range(1, len(b) - 1), lambda i: b[i] = 'side' AND b[i + 1] = 'by' AND b[i + 2] = 'side')) > 0",
     "bm25_and_search": _bm25("orchard", "bridge") + " SELECT url, round(bm25, 6) AS bm25 FROM scored WHERE matched = 2",
@@ -265,8 +319,8 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, round(CAST(greatest(-0.5, least(0.3, CASE WHEN size < 80 THEN -0.3 WHEN size >= 300 THEN 0.2 ELSE 0.05 END + CASE WHEN t * 4 > size THEN -0.15 ELSE 0.0 END
           + CASE WHEN len(w) >= 12 AND len(list_distinct(w)) < len(w) * 0.25 THEN -0.25 ELSE 0.0 END + CASE WHEN n > 50 THEN -0.25 ELSE 0.0 END)) AS DOUBLE), 6) AS quality FROM d""",
     "detect_script": r"""
-        WITH c AS (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 20000), '[가-힣]')) AS ko, len(regexp_extract_all(substr(text, 1, 20000), '[ぁ-ゖァ-ヺー]')) AS ja,
-          len(regexp_extract_all(substr(text, 1, 20000), '[㐀-鿿]')) AS zh, len(regexp_extract_all(substr(text, 1, 20000), '[A-Za-z]')) AS en FROM documents),
+        WITH c AS (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 20000), '[가-힣]')) AS ko, len(regexp_extract_all(substr(text, 1, 20000), '[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]')) AS ja,
+          len(regexp_extract_all(substr(text, 1, 20000), '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]')) AS zh, len(regexp_extract_all(substr(text, 1, 20000), '[A-Za-z]')) AS en FROM documents),
         m AS (SELECT *, greatest(ko, ja, zh, en) AS most FROM c)
         SELECT doc_id, CASE WHEN most IS NULL OR most < 3 THEN 'other' WHEN ko = most THEN 'ko' WHEN ja = most THEN 'ja' WHEN zh = most THEN 'zh' ELSE 'en' END AS script_language FROM m""",
     "canonical_urls": rf"""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvina.functions import crawl as cr
 from corvina.functions import text as tx
@@ -21,29 +26,32 @@ def within_cap(pages: DataFrame, body: str, most: int) -> tuple[DataFrame, DataF
     return pages.where(small), pages.where(~small)
 
 
-def _resolved(base: Column, targets: Column) -> Column:
-    """Links made absolute where that needs no parser: absolute ones as they are, root-relative ones under the base's origin."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/)", 1)
-    folder = F.when(folder.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://$"), F.concat(origin, F.lit("/"))).otherwise(folder)
-    return F.transform(
-        targets,
-        lambda t: F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), t)
-        .when(t.startswith("//"), F.concat(ur.scheme(base), F.lit(":"), t))
-        .when(t.startswith("/"), F.concat(origin, t))
-        .when(t.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), t))
-        .otherwise(F.concat(folder, t)),
-    )
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _resolved(base: pd.Series, targets: pd.Series) -> pd.Series:
+    """Links resolved against their page's address, dot segments removed; what can't be read is left out."""
+
+    def one(b: str | None, links: Sequence[str] | None) -> list[str]:
+        out = []
+        for link in links if links is not None and b is not None else ():
+            if link is None:
+                continue
+            try:
+                out.append(urljoin(b, link.strip()))
+            except ValueError:
+                continue
+        return out
+
+    return pd.Series([one(b, t) for b, t in zip(base, targets)], dtype=object)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(url, title, text, links, headings, canonical_url, noindex, nofollow, text_hash) of (url, html, x_robots_tag).
 
-    Links are absolute, canonical, public, each once, in order.  Null HTML counts as empty.  Pure column expressions.
+    Links are absolute, canonical, public, each once, in order, the first ``MOST_LINKS`` of those.  Null HTML counts as empty.
     """
     html, base = F.coalesce("html", F.lit("")), F.col("url")
     directives = tx.robots_directives(html, F.col("x_robots_tag"))
-    found = F.transform(_resolved(base, tx.links(html, 10 * MOST_LINKS)), lambda u: ur.canonicalize(u))
+    found = F.transform(_resolved(base, tx.links(html)), lambda u: ur.canonicalize(u))
     declared = F.nullif(tx.canonical_link(html), F.lit(""))
     out = pages.select(
         "url",
@@ -65,16 +73,36 @@ def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
     return rows.where(ur.is_public_url(F.col("url"))).select("source_url", "position", "url", "is_index")
 
 
-def sitemap_levels(sitemaps: DataFrame, roots: DataFrame, most_depth: int = 3, most_documents: int = 100) -> DataFrame:
-    """(url) of the pages named by sitemaps reached from ``roots`` (url) through sitemap indexes, ``most_depth`` levels deep.
+#: Sitemaps read for a crawl at most, and the depth of indexes that are followed (the roots have depth 0).
+MOST_SITEMAPS, SITEMAP_DEPTH = 100, 3
+
+
+def sitemap_roots(seeds: DataFrame, robots: DataFrame) -> DataFrame:
+    """(url) of the sitemaps a crawl of (origin) starts from: ``/sitemap.xml`` and those named by the robots file (origin, text)."""
+    named = robots.select("origin", F.explode(cr.robots_sitemaps(F.col("text"))).alias("raw"))
+    named = named.join(seeds.select("origin").distinct(), "origin").select(F.element_at(_resolved(F.concat("origin", F.lit("/")), F.array("raw")), 1).alias("url"))
+    return seeds.select(F.concat("origin", F.lit("/sitemap.xml")).alias("url")).unionByName(named).where("url IS NOT NULL").distinct()
+
+
+def sitemap_levels(sitemaps: DataFrame, roots: DataFrame, most_depth: int = SITEMAP_DEPTH, most_documents: int = MOST_SITEMAPS, hosts: Sequence[str] | None = None) -> DataFrame:
+    """(url) of the pages named by sitemaps reached from ``roots`` (url) through sitemap indexes of depth 0 to ``most_depth``.
 
-    ``most_documents`` is the crawl's limit on sitemaps that are followed per level, in order of URL.
+    Breadth first, in the order of discovery (by address within a level), every sitemap once, ``most_documents`` of them
+    in all: that is the crawl's own limit.  ``hosts`` restricts what is followed and returned to these hosts.
     """
     entries = sitemap_entries(sitemaps)
-    level, out = roots.select("url").distinct(), None
-    for _ in range(most_depth):
-        read = entries.join(level.withColumnRenamed("url", "source_url"), "source_url", "left_semi")
+    if hosts is not None:
+        entries = entries.where(ur.host(F.col("url")).isin(*hosts))
+    # Bounded: at most ``most_documents`` addresses are known here.
+    level, seen, out = sorted(r.url for r in roots.select("url").distinct().orderBy("url").limit(most_documents).collect()), [], None
+    for depth in range(most_depth + 1):
+        level = [u for u in level if u not in seen][: most_documents - len(seen)]
+        if not level:
+            break
+        seen += level
+        read = entries.where(F.col("source_url").isin(*level))
         pages = read.where("NOT is_index").select("url")
         out = pages if out is None else out.unionByName(pages)
-        level = read.where("is_index").select("url").distinct().orderBy("url").limit(most_documents)
-    return out.distinct()
+        if depth < most_depth:
+            level = [r.url for r in read.where("is_index").select("url").distinct().orderBy("url").limit(most_documents + len(seen)).collect()]
+    return out.distinct() if out is not None else entries.select("url").limit(0)

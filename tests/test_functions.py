@@ -5,7 +5,7 @@ from corvina.functions import crawl as cr
 from corvina.functions import text as tx
 from corvina.functions import urls as ur
 from corvina.sources import options
-from corvina.sources.pages import extract, sitemap_entries, within_cap
+from corvina.sources.pages import extract, sitemap_entries, sitemap_levels, sitemap_roots, within_cap
 
 
 def value(spark, column):
@@ -91,6 +91,47 @@ def test_extract(spark):
     assert empty.title == "h.test" and empty.text == "" and empty.noindex and empty.nofollow
 
 
+def test_links_are_resolved_and_counted_after_the_filter(spark):
+    local = "".join(f'<a href="http://10.0.0.1/{i}">x</a>' for i in range(3500))
+    html = '<a href="../c">c</a><a href="./d?x=1">d</a><a href="?q">q</a><a href="//e.test/f">f</a>' + local + "".join(f'<a href="/p{i}">p</a>' for i in range(400))
+    row = extract(spark.createDataFrame([("https://h.test/a/b/x", html, None)], "url string, html string, x_robots_tag string")).first()
+    assert row.links[:4] == ["https://h.test/a/c", "https://h.test/a/b/d?x=1", "https://h.test/a/b/x?q", "https://e.test/f"] and len(row.links) == 300
+
+
+def test_sitemaps_four_levels_deep(spark):
+    index_ = lambda *urls: "<sitemapindex>" + "".join(f"<loc>https://h.test/{u}</loc>" for u in urls) + "</sitemapindex>"
+    pages_ = lambda *urls: "<urlset>" + "".join(f"<loc>{u}</loc>" for u in urls) + "</urlset>"
+    maps = spark.createDataFrame(
+        [("https://h.test/0.xml", index_("1.xml", "0.xml")), ("https://h.test/1.xml", index_("2.xml")), ("https://h.test/2.xml", index_("3.xml")), ("https://h.test/3.xml", pages_("https://h.test/deep", "https://o.test/x")), ("https://h.test/sitemap.xml", pages_("https://h.test/top"))],
+        "url string, xml string",
+    )
+    seeds = spark.createDataFrame([("https://h.test",)], "origin string")
+    robots = spark.createDataFrame([("https://h.test", "Sitemap: /0.xml"), ("https://z.test", "Sitemap: /z.xml")], "origin string, text string")
+    roots = sitemap_roots(seeds, robots)
+    assert sorted(r.url for r in roots.collect()) == ["https://h.test/0.xml", "https://h.test/sitemap.xml"]
+    found = lambda **o: sorted(r.url for r in sitemap_levels(maps, roots, **o).collect())
+    assert found() == ["https://h.test/deep", "https://h.test/top", "https://o.test/x"] and found(hosts=["h.test"]) == ["https://h.test/deep", "https://h.test/top"]
+    assert found(most_depth=2) == ["https://h.test/top"] and found(most_documents=1) == []
+
+
+@pytest.mark.parametrize(("word", "stem"), [("도서관이다", "도서관"), ("도서관으로", "도서관"), ("나이", "나이"), ("나는", "나는"), ("사람이", "사람"), ("abc", "abc")])
+def test_korean_stems(spark, word, stem):
+    assert value(spark, tx.korean_stem(F.lit(word))) == stem
+
+
+def test_characters_of_scripts(spark):
+    assert value(spark, tx.script_language(F.lit("ゟヿ・"))) == "ja" and value(spark, tx.script_language(F.lit("豈更車"))) == "zh"
+    assert value(spark, ur.is_public_address(F.lit("::10.0.0.1"))) is False and value(spark, ur.is_public_address(F.lit("::8.8.8.8"))) is True
+
+
+@pytest.mark.parametrize(
+    ("message", "kind"),
+    [("HTTP 429", "http_429"), ("HTTP 503", "http_5xx"), ("was HTTP 503 before", "unknown"), ("getaddrinfo ENOTFOUND h.test", "dns"), ("connect ECONNREFUSED: connection timed out", "connection"), ("The operation was aborted due to timeout", "timeout"), ("no connection today", "unknown"), ("socket hang up", "connection"), (None, None)],
+)
+def test_failure_types(spark, message, kind):
+    assert value(spark, cr.failure_type(F.lit(message).cast("string"))) == kind
+
+
 def test_sitemaps_and_caps(spark):
     xml = "<urlset><url><loc> https://h.test/a </loc></url><url><loc>https://h.test/a</loc></url><url><loc>http://10.0.0.1/</loc></url></urlset>"
     found = sitemap_entries(spark.createDataFrame([("https://h.test/s.xml", xml)], "url string, xml string"))

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from corvina.operators import index, search
 from corvina.operators import querylang as ql
 from tests.conftest import rows
@@ -13,7 +15,7 @@ CORPUS = [
 @pytest.fixture(scope="module")
 def indexed(spark):
     docs = spark.createDataFrame(CORPUS, "url string, title string, text string")
-    return search.postings(docs).cache(), search.document_lengths(docs).cache()
+    return search.postings(docs).cache(), search.corpus_stats(search.document_lengths(docs)).cache()
 
 
 def found(indexed, query, weights=(8.0, 1.0)):
@@ -66,7 +68,7 @@ def test_public_rules(query):
 
 def test_precedence(spark):
     docs = spark.createDataFrame([(t, None, t) for t in ("a", "a b", "a c", "a b c", "c")], "url string, title string, text string")
-    built = search.postings(docs), search.document_lengths(docs)
+    built = search.postings(docs), search.corpus_stats(search.document_lengths(docs))
     for query, expected in (("a NOT b AND c", {"a c"}), ("a AND c NOT b", {"a c"}), ("a NOT b c", {"a", "a b", "a c"}), ("c AND a NOT b OR b", {"a b", "a c", "a b c"})):
         assert set(found(built, query)) == expected
 
@@ -87,7 +89,7 @@ def test_filters_and_paging(spark):
 
 def test_fallback_only_without_hits(spark):
     docs = spark.createDataFrame([("k", "제목", "검색은 빠르다"), ("e", "x", "search")], "url string, title string, text string")
-    built, table = (search.postings(docs), search.document_lengths(docs)), search.token_table(docs)
+    built, table = (search.postings(docs), search.corpus_stats(search.document_lengths(docs))), search.ngram_postings(docs)
     assert rows(search.with_fallback(search.hits(*built, "검색을"), table, "검색을")) == [("k", 0.0)]
     assert rows(search.with_fallback(search.hits(*built, "검색은"), table, "검색은"), "url") == [("k",)]
     assert rows(search.with_fallback(search.hits(*built, "absent"), table, "absent")) == []
@@ -126,8 +128,36 @@ def test_first_of_copies_and_upsert(spark):
     assert rows(index.upsert(docs, change, ["url"]), "url", "text_hash") == [("u1", "h"), ("u2", "n"), ("u3", "h"), ("u4", None), ("u9", "n")]
 
 
-def test_compacted_postings_read_back(spark, tmp_path):
+def test_stored_index_answers_as_the_postings_do(spark, tmp_path):
     docs = spark.createDataFrame(CORPUS, "url string, title string, text string")
-    index.compact(docs, str(tmp_path / "p"), 4)
-    back = spark.read.parquet(str(tmp_path / "p"))
-    assert rows(back, "token", "url", "field", "positions") == rows(search.postings(docs), "token", "url", "field", "positions")
+    links = spark.createDataFrame([(CORPUS[0][0], CORPUS[1][0])], "source_url string, target_url string")
+    held = index.build(docs, links, docs.select("url", F.lit(0.1).alias("quality_score")), str(tmp_path / "i"), file_tokens=5)
+    assert rows(held.postings.groupBy("token", "url", "field").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("p"))) == rows(search.postings(docs), "token", "url", "field", "positions")
+    assert rows(held.grams, "token", "url") == rows(search.ngram_postings(docs), "token", "url") and rows(held.authority) == [(CORPUS[1][0], 1)]
+    word = rows(held.postings, "token")[0][0]
+    for query in (word, f"{word[:1]}*", f'"{word}"', f"{word} OR absent"):
+        scanned = rows(search.hits_by_scan(docs, query))
+        assert rows(search.hits(held.postings, held.statistics, query)) == scanned and scanned
+    plan = search.hits(held.postings, held.statistics, word)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lead" in plan or "PartitionFilters: [(lead" in plan or "lead" in plan.split("PartitionFilters")[1][:60]
+    assert "In(token" in plan or "EqualTo(token" in plan
+    empty = index.build(docs.limit(0), links, docs.select("url", F.lit(0.1).alias("quality_score")), str(tmp_path / "e"))
+    assert rows(search.hits(empty.postings, empty.statistics, word)) == []
+
+
+def test_postings_of_long_and_empty_texts(spark):
+    text = "b a b " + "x " * 5000 + "a"
+    docs = spark.createDataFrame([("u", None, text), ("v", "", None), ("w", "a", "A b")], "url string, title string, text string")
+    got = {(r.token, r.url, r.field): (r.positions, r.length) for r in search.postings(docs).collect()}
+    assert got[("b", "u", "text")] == ([0, 2], 5004) and got[("a", "u", "text")] == ([1, 5003], 5004) and len(got[("x", "u", "text")][0]) == 5000
+    assert got[("a", "w", "title")] == ([0], 3) and not any(k[1] == "v" for k in got)
+    assert rows(search.term_statistics(docs)) == [("a", 2, 4), ("b", 2, 3), ("x", 1, 5000)]
+
+
+def test_fallback_counts_and_previews(spark):
+    docs = spark.createDataFrame([("k", "검색의 역사", "좋은 검색을 하자"), ("m", "한국", "검토")], "url string, title string, text string")
+    primary, grams = search.hits_by_scan(docs, "검색처럼"), search.ngram_postings(docs)
+    assert rows(search.hit_counts(primary, grams, "검색처럼")) == [(1, True)]
+    found = search.hits_by_scan(docs, "역사")
+    assert rows(search.hit_counts(found, grams, "역사")) == [(1, False)]
+    assert rows(search.title_preview(docs.select("url", "title"), 2), "url", "preview") == [("k", "검색"), ("m", "한국")]
