@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.session import stage
-
-#: Rows of a staged table that are sent to all workers at most; a larger one is joined by shuffle, with the same result.
-MOST_SENT = 200_000
-
+from corvina.session import sent_if_small, spread
 
 def site(url: Column) -> Column:
     """Host of a URL in lower case, without a leading ``www.`` and without the port; null for a null or hostless URL."""
@@ -17,18 +13,6 @@ def site(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def sent_if_small(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
-    """``df`` staged, and marked for a broadcast join only if its rows, counted, number at most ``most`` (``MOST_SENT``)."""
-    staged = stage(df, name)
-    return F.broadcast(staged) if staged.count() <= (MOST_SENT if most is None else most) else staged
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over all cores by a hash of ``keys``, if its files are so few that half of the cores or more would be idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def texts_by_url(search: DataFrame) -> DataFrame:
     """(url, title, text), one row per URL: rows that occur twice are taken once, a URL with several texts has its greatest.
 
