@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from functools import reduce
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.bpe import TOKENIZER_DIR, token_counts
-from corvina.session import ship
+from corvina.session import ship, stage
 
 #: Items packed by one task, and the weights of the linear and the quadratic part of the cost.
 SHARD_ITEMS = 8_192
@@ -136,7 +138,8 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, *, shard_items: int = SH
     are packed once.  ``container_id`` is unique within its capacity.  Capacities that are null or below 1 are skipped.
     """
     ship(sizes.sparkSession)
-    sizes = sizes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    # Read twice below, measured once.
+    sizes = stage(sizes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("tokens").alias("tokens")), "sizes")
     shards = sizes.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / shard_items)).alias("shards"))
     wanted = capacities.where("capacity_tokens >= 1").select(F.col("capacity_id").cast("long"), F.col("capacity_tokens").cast("long")).distinct()
     keyed = sizes.crossJoin(F.broadcast(shards)).crossJoin(F.broadcast(wanted))  # one row; one row per capacity
@@ -165,6 +168,24 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, *, shard_items: int = SH
     return keyed.groupBy("capacity_id", "shard").applyInPandas(run, _COLUMNS)
 
 
+#: Tokenizer of a capacity that names none, and the different ones a table of capacities may name.
+TOKENIZER, MOST_TOKENIZERS = "byte_bpe_50k", 16
+
+
 def containers(documents: DataFrame, capacities: DataFrame, *, tokenizer_dir: str = TOKENIZER_DIR, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Every document assigned to containers of each capacity, sizes in tokens of byte_bpe_50k."""
-    return pack_sizes(token_counts(documents, tokenizer_dir=tokenizer_dir), capacities, shard_items=shard_items)
+    """Every document assigned to containers of each capacity, sizes in tokens of the capacity's own tokenizer.
+
+    Tokenizers are byte-level vocabularies given as rank files; a null name stands for ``TOKENIZER``.  Raises for a
+    tokenizer without such a file and for more than ``MOST_TOKENIZERS`` different ones.
+    """
+    wanted = capacities.where("capacity_tokens >= 1").withColumn("tokenizer", F.coalesce("tokenizer", F.lit(TOKENIZER)))
+    names = sorted(row.tokenizer for row in wanted.select("tokenizer").distinct().limit(MOST_TOKENIZERS + 1).collect())
+    if len(names) > MOST_TOKENIZERS:
+        raise ValueError(f"more than {MOST_TOKENIZERS} tokenizers")
+    for name in names:
+        if not Path(tokenizer_dir, f"{name}.tiktoken").exists():
+            raise ValueError(f"no rank file of tokenizer {name!r}")
+    packed = [pack_sizes(token_counts(documents, tokenizer=name, tokenizer_dir=tokenizer_dir), wanted.where(F.col("tokenizer") == name), shard_items=shard_items) for name in names]
+    if not packed:
+        return documents.sparkSession.createDataFrame([], _COLUMNS)
+    return reduce(DataFrame.unionByName, packed)
