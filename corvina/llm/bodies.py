@@ -94,9 +94,10 @@ def tokens(text: str) -> list[str]:
         return _ASCII_WORD.findall(text.lower())
     if not _EAST.search(text):
         return _LATIN_WORD.findall(text.lower())
-    found = _WORD.findall(text.lower())
     if _HANGUL.search(text):
+        found = _WORD.findall(text.lower()) if _CJK.search(text) else _LATIN_WORD.findall(text.lower())
         return [w[:2] if "가" <= w[0] <= "힣" else w for w in found]
+    found = _WORD.findall(text.lower())
     if _KANA.search(text):
         return found
     out = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.analysis import common_words, read_pages, vote
+from corvina.llm.analysis import common_words, listed_words, read_pages, vote
 from corvina.llm.canonical import transducer
 
 LANGUAGES = ("en", "fr", "de", "es", "pt", "ko", "ja", "zh")
@@ -28,6 +28,9 @@ LANGUAGES = ("en", "fr", "de", "es", "pt", "ko", "ja", "zh")
 #: Documents the profiles are trained on at most, n-grams of a profile, n-grams of a text that are ranked.
 TRAINING, PROFILE, RANKED = 2_000, 400, 300
 
+#: Characters compared at once: as many as the processor's cache holds well.
+BATCH = 60_000
+
 #: Lines of at least so many characters are segments of their own.
 LEAST_LINE = 40
 
@@ -35,6 +38,7 @@ LEAST_LINE = 40
 LEAD = 0.3
 
 _OTHER = re.compile(r"[\W\d_]+")
+_ASCII_OTHER = {c: " " for c in range(128) if not chr(c).isalpha()}
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _WEST = re.compile(r"[a-zß-ɏ]+")
 _URL = re.compile(r"(?:https?://|www\.)\S+")
@@ -46,7 +50,9 @@ def plain(text: str) -> str:
     Where a fifth of the letters or more are Han, kana or Hangul, Latin letters are foreign names and left out.
     """
     low = _URL.sub(" ", text).lower() if "://" in text or "www." in text else text.lower()
-    if not low.isascii() and len(_EAST.findall(low)) * 5 >= len(low):
+    if low.isascii():
+        return " " + " ".join(low.translate(_ASCII_OTHER).split()) + " "
+    if len(_EAST.findall(low)) * 5 >= len(low):
         low = _WEST.sub(" ", low)
     return " " + _OTHER.sub(" ", low).strip() + " "
 
@@ -72,29 +78,33 @@ class Profiles:
         for k, x in enumerate(self.languages):
             for r, g in enumerate(ranked[x]):
                 self.ranks[k, place[g]] = r
+        self.least = self.ranks.min(axis=0).astype(np.int64) if self.size else np.zeros(0, dtype=np.int64)
         chars = sorted({c for g in union for c in g})
         self.char = np.zeros(0x110000, dtype=np.int32)
         for i, c in enumerate(chars):
             self.char[ord(c)] = i + 1
         self.width = width = len(chars) + 1
         code = {c: i + 1 for i, c in enumerate(chars)}
-        self.one = np.full(width, -1, dtype=np.int32)
-        self.two = np.full(width * width, -1, dtype=np.int32)
+        self.one = np.full(width, -1, dtype=np.int16)
+        self.two = np.full(width * width, -1, dtype=np.int16)  # fewer n-grams than 2 ** 15: all profiles together
         heads = sorted({g[:2] for g in union if len(g) == 3})
-        self.head = np.zeros(width * width, dtype=np.int32)
+        self.head = np.zeros(width * width, dtype=np.int16)
         for i, h in enumerate(heads):
             self.head[code[h[0]] * width + code[h[1]]] = i + 1
-        self.three = np.full((len(heads) + 1) * width, -1, dtype=np.int32)
+        self.three = np.full((len(heads) + 1) * width, -1, dtype=np.int16)
         for g, i in place.items():
             if len(g) == 1:
                 self.one[code[g]] = i
             elif len(g) == 2:
                 self.two[code[g[0]] * width + code[g[1]]] = i
             else:
-                self.three[self.head[code[g[0]] * width + code[g[1]]] * width + code[g[2]]] = i
+                self.three[int(self.head[code[g[0]] * width + code[g[1]]]) * width + code[g[2]]] = i
 
     def distances(self, texts: Sequence[str]) -> np.ndarray:
-        """Mean out-of-place distance (0 to 1) of each plain text to each language; 1 for a text none of whose n-grams is known."""
+        """Mean out-of-place distance (0 to 1) of each plain text to each language; 1 for a text none of whose n-grams is known.
+
+        N-grams that no profile has would add the same to every language's sum and are left out of the mean.
+        """
         lengths = np.array([len(t) for t in texts])
         chars = self.char[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         of = np.repeat(np.arange(len(texts)), lengths)
@@ -102,16 +112,18 @@ class Profiles:
         same = of[:-1] == of[1:]
         two = np.where(same, self.two[pair], -1)
         head = np.where(same, self.head[pair], 0)
-        three = np.where(same[1:], self.three[head[:-1] * self.width + chars[2:]], -1) if len(chars) > 2 else np.zeros(0, dtype=np.int32)
+        three = np.where(same[1:], self.three[head[:-1].astype(np.int32) * self.width + chars[2:]], -1) if len(chars) > 2 else np.zeros(0, dtype=np.int16)
         one = self.one[chars]
         found = np.concatenate([one, two, three])
         owner = np.concatenate([of, of[:-1], of[: len(three)]])
         keep = found >= 0
         keys, n = np.unique(owner[keep].astype(np.int64) * self.size + found[keep], return_counts=True)
         owner, found = keys // self.size, keys % self.size
-        # Ties stand in the order of the n-grams' mean rank over the languages, so that they don't favour one.
-        order = np.lexsort((self.ranks.min(axis=0)[found], -n, owner))
-        owner, found = owner[order], found[order]
+        # By text, then frequency, ties in the order of the n-grams' least rank over the languages, so that they favour
+        # none; all packed into one number, which sorts fastest.
+        packed = np.sort(((owner << 20 | (1 << 20) - 1 - np.minimum(n, (1 << 20) - 1)) * (PROFILE + 1) + self.least[found]) * self.size + found)
+        found = packed % self.size
+        owner = packed // (self.size * (PROFILE + 1)) >> 20
         first = np.searchsorted(owner, np.arange(len(texts)))
         rank = np.arange(len(owner)) - first[owner]
         kept = rank < RANKED
@@ -139,8 +151,7 @@ def train(documents: DataFrame, words: DataFrame, *, training: int = TRAINING) -
     apply = transducer().apply
     for row in sample:
         counts[row.label].update(grams(plain(apply(row.text))))
-    listed = words.select("lang", "word").limit(10_000).collect()
-    for row in listed:
+    for row in listed_words(words):
         if row.word and row.lang in counts:
             counts[row.lang].update(grams(plain(row.word)))
     return Profiles({x: [g for g, _ in sorted(c.items(), key=lambda y: (-y[1], y[0]))[:PROFILE]] for x, c in counts.items()})
@@ -170,8 +181,9 @@ def segments(text: str, forms: Sequence[str] | None = None) -> list[tuple[int, s
 def judge(profiles: Profiles, pages: Iterable[tuple]) -> Iterable[tuple]:
     """For (key, text) pages: (key, language, confidence, [(line, language, confidence), ...]).
 
-    A document's language is that of the greater part of its text by characters; its confidence is the share of that
-    part.  A line's confidence is its lead over the document's language.  Texts without letters give a null language.
+    A document's language is that of the greater part of its text by characters.  Its confidence is the share of that
+    part, times how far its lines are nearer to that language than to the second (0 for equally near, towards 1).  A
+    line's confidence is its lead over the document's language.  Texts without letters give a null language.
     """
     held: list[tuple] = []
     texts: list[str] = []
@@ -179,6 +191,10 @@ def judge(profiles: Profiles, pages: Iterable[tuple]) -> Iterable[tuple]:
     def settle() -> Iterable[tuple]:
         far = profiles.distances(texts) if texts else np.zeros((0, len(profiles.languages)))
         near = far.argmin(axis=1) if len(texts) else []
+        leads = np.zeros(len(texts))
+        if len(texts) and len(profiles.languages) > 1:
+            two = np.partition(far, 1, axis=1)[:, :2]
+            leads = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
         at = 0
         for key, numbers, sizes in held:
             span = range(at, at + len(numbers))
@@ -186,16 +202,17 @@ def judge(profiles: Profiles, pages: Iterable[tuple]) -> Iterable[tuple]:
             if not numbers:
                 yield key, None, 0.0, []
                 continue
-            weight = np.zeros(len(profiles.languages))
+            weight, lead_of = np.zeros(len(profiles.languages)), np.zeros(len(profiles.languages))
             for k, size in zip(span, sizes):
                 weight[near[k]] += size
+                lead_of[near[k]] += size * leads[k]
             own = int(weight.argmax())
             lines = []
             for k, number in zip(span, numbers):
                 lead = float((far[k, own] - far[k, near[k]]) / max(far[k, own], 1e-9))
                 if number and near[k] != own and lead >= LEAD:
                     lines.append((number, profiles.languages[near[k]], lead))
-            yield key, profiles.languages[own], float(weight[own] / weight.sum()), lines
+            yield key, profiles.languages[own], float(lead_of[own] / weight.sum()), lines
         held.clear()
         texts.clear()
 
@@ -205,7 +222,7 @@ def judge(profiles: Profiles, pages: Iterable[tuple]) -> Iterable[tuple]:
         held.append((key, [n for n, _ in parts], [len(t) for _, t in parts]))
         texts.extend(t for _, t in parts)
         size += sum(len(t) for _, t in parts)
-        if size > 300_000:
+        if size > BATCH:
             yield from settle()
             size = 0
     yield from settle()

@@ -205,7 +205,7 @@ def messages(part: str) -> int:
 def _residue(part: str, filler: bool) -> bool:
     if ("undefined" in part or "null" in part or "NaN" in part or "None" in part or "nil" in part or "[object" in part or "N/A" in part) and sum(map(len, _EMPTY_VALUE.findall(part))) * 2 > len(part):
         return True
-    if messages(part) * REACH >= len(part) or _FILLER.match(part):
+    if messages(part) * REACH >= len(part) or len(part) <= 180 and _FILLER.match(part):  # nothing longer can match
         return True
     if filler:
         own = re.findall(r"[^\W\d_]+", part.lower())
