@@ -127,8 +127,8 @@ def fold_statuses(events: DataFrame, start: str = "queued") -> DataFrame:
 
 
 def due_jobs(jobs: DataFrame, now_ms: int) -> DataFrame:
-    """Finished jobs whose recrawl is due."""
-    return jobs.where(F.col("status").isin("complete", "failed", "cancelled") & F.col("next_recrawl_at").isNotNull() & (F.col("next_recrawl_at") <= now_ms))
+    """Complete jobs whose recrawl is due."""
+    return jobs.where((F.col("status") == "complete") & F.col("next_recrawl_at").isNotNull() & (F.col("next_recrawl_at") <= now_ms))
 
 
 def allowed_entries(frontier: DataFrame, jobs: DataFrame, blocks: DataFrame) -> DataFrame:

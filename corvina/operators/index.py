@@ -87,14 +87,18 @@ class Stored:
     spark: SparkSession
     path: str
 
+    def _read(self, name: str, schema: str) -> DataFrame:
+        """A part of the index, which has no files if it is empty."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
     @property
     def postings(self) -> DataFrame:
         """One row per occurrence, as ``search.hits`` takes them: it brings a document's positions together itself."""
-        return self.spark.read.parquet(f"{self.path}/postings").withColumn("positions", F.array("pos")).drop("pos")
+        return self._read("postings", "token string, url string, field string, pos int, length int, lead int").withColumn("positions", F.array("pos")).drop("pos")
 
     @property
     def grams(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/grams")
+        return self._read("grams", "token string, url string, lead int")
 
     @property
     def statistics(self) -> DataFrame:

@@ -15,6 +15,9 @@ from corvina.session import table
 NOW_MS = 1_928_600_000_000
 CUTOFF = "2031-02-10T00:00:00.000Z"
 
+#: The moment recrawls are measured against: thirty days later, when some are due.
+RECRAWL_MS = NOW_MS + 30 * 86_400_000
+
 
 def _frontier(spark: SparkSession, d: str) -> DataFrame:
     return frontier.current(table(spark, d, "frontier"))
@@ -69,7 +72,7 @@ def policy_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def jobs_due(spark: SparkSession, d: str) -> DataFrame:
     """Jobs whose recrawl is due."""
-    return frontier.due_jobs(table(spark, d, "crawl_jobs"), NOW_MS).select("id", "next_recrawl_at")
+    return frontier.due_jobs(table(spark, d, "crawl_jobs"), RECRAWL_MS).select("id", "next_recrawl_at")
 
 
 def crash_recovery(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +219,7 @@ ORACLE: dict[str, str] = {
         SELECT job_id, url, CASE WHEN domain IS NOT NULL THEN 'domain_blocked' WHEN p.max_depth IS NOT NULL AND depth > p.max_depth THEN 'depth'
           WHEN len(list_filter(coalesce(p.exclude_patterns, []), lambda p: {_GLOB})) > 0 THEN 'exclude_pattern'
           WHEN len(coalesce(p.include_patterns, [])) > 0 AND len(list_filter(p.include_patterns, lambda p: {_GLOB})) = 0 THEN 'include_pattern' END AS reason FROM x""",
-    "jobs_due": f"SELECT id, next_recrawl_at FROM crawl_jobs WHERE status IN ('complete', 'failed', 'cancelled') AND next_recrawl_at <= {NOW_MS}",
+    "jobs_due": f"SELECT id, next_recrawl_at FROM crawl_jobs WHERE status = 'complete' AND next_recrawl_at <= {RECRAWL_MS}",
     "crash_recovery": f"""WITH {_CUR}, a AS (SELECT CASE WHEN j.status = 'running' AND state = 'processing' THEN 'queued' ELSE state END AS state, CASE WHEN j.status = 'running' AND state = 'processing' THEN NULL ELSE lease_owner END AS o
         FROM cur LEFT JOIN crawl_jobs j ON j.id = job_id) SELECT state, count(*) AS entries, count(o) AS leases FROM a GROUP BY state""",
     "ops_metrics": f"""WITH {_CUR} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT round(avg(quality_score), 6) FROM documents) AS mean_quality, (SELECT count(*) FROM crawl_jobs) AS jobs,

@@ -11,6 +11,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corvina.operators.index import index_batch
 from corvina.session import cut
 
+def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """A key's rows of a batch in order of time, however many chunks they come in.
+
+    They are held together: what a key sends within one micro-batch, which the source's rate limit bounds.
+    """
+    held = list(frames)
+    if held:
+        yield pd.concat(held, ignore_index=True).sort_values(by, kind="stable")
+
+
 _DECISIONS = "client string, ts_ms long, request_id long, allowed boolean, retry_after_s long"
 
 
@@ -26,8 +36,7 @@ def limited(requests: DataFrame, limit: int = 120, window_ms: int = 60_000, *, e
             state.remove()
             return
         start, used = state.get if state.exists else (None, 0)
-        for frame in frames:
-            frame = frame.sort_values(["ts_ms", "request_id"])
+        for frame in _in_order(frames, ["ts_ms", "request_id"]):
             allowed, wait = [], []
             for t in frame["ts_ms"]:
                 if start is None or t - start >= window_ms:
@@ -56,8 +65,7 @@ def leased(events: DataFrame, lease_ms: int = 30_000) -> DataFrame:
 
     def run(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         owner, expires, attempts = state.get if state.exists else (None, 0, 0)
-        for frame in frames:
-            frame = frame.sort_values(["ts_ms", "worker"])
+        for frame in _in_order(frames, ["ts_ms", "worker"]):
             granted, tries = [], []
             for t, worker, action in zip(frame["ts_ms"], frame["worker"], frame["action"]):
                 held = owner is not None and t < expires

@@ -3,7 +3,7 @@ import uuid
 
 import pandas as pd
 
-from corvina.operators import admin, frontier, workspace
+from corvina.operators import admin, frontier, upkeep, workspace
 from corvina.sources import events, snapshots
 from corvina.streaming import processors
 from tests.conftest import rows
@@ -152,3 +152,56 @@ def test_stream_index(spark, tmp_path):
         handle(spark.createDataFrame(batch, schema), i)
     assert rows(held["d"], "url") == [("a",), ("c",)]
     assert rows(held["l"], "source_url", "target_url") == [("c", "a")]  # b turned out to be a copy of a: links to it are gone
+
+
+def test_rows_of_a_key_are_ordered_over_all_chunks():
+    frames = [pd.DataFrame({"ts_ms": [5, 1], "worker": ["a", "b"]}), pd.DataFrame({"ts_ms": [3], "worker": ["c"]})]
+    assert [f["ts_ms"].tolist() for f in processors._in_order(iter(frames), ["ts_ms", "worker"])] == [[1, 3, 5]]
+    assert list(processors._in_order(iter([]), ["ts_ms"])) == []
+
+
+FULL = "job_id string, url string, state string, attempts bigint, host string, depth bigint, available_at bigint, discovered_at string, last_error string, failure_type string, last_failed_at string, lease_owner string, lease_expires_at bigint, heartbeat_at string"
+
+
+def test_admission_ignores_known_blocked_and_surplus(spark):
+    held = spark.createDataFrame([("j", "https://h.test/a", "fetched", 1, "h.test", 0, 0, "1", None, None, None, None, None, None)], FULL)
+    jobs = spark.createDataFrame([("j", 3, (5, None, [], ["*skip*"], []))], "id string, max_pages bigint, crawl_policy struct<max_depth:int,request_interval_ms:int,include_patterns:array<string>,exclude_patterns:array<string>,allowed_content_types:array<string>>")
+    blocks = spark.createDataFrame([("bad.test",)], "domain string")
+    wanted = [("j", u, d) for u, d in (("https://h.test/a", 1), ("https://h.test/c", 2), ("https://h.test/b", 3), ("https://h.test/b", 1), ("https://bad.test/", 1), ("https://h.test/skip", 1), ("https://h.test/d", 1), ("https://h.test/deep", 9), (None, 1))] + [("k", "https://h.test/z", 1)]
+    got = upkeep.enqueued(held, spark.createDataFrame(wanted, "job_id string, url string, depth bigint"), jobs, blocks)
+    assert rows(got) == [("j", "https://h.test/b", 1), ("j", "https://h.test/c", 2)]
+    assert rows(upkeep.enqueued(held.limit(0), held.select("job_id", "url", "depth").limit(0), jobs, blocks)) == []
+
+
+def test_polite_times_keep_their_distance(spark):
+    data = [("j", f"u{i}", "queued", 0, "h.test", 0, 0, f"2031-01-0{1 + i % 3}T0{i % 2}:00", None, None, None, None, None, None) for i in range(20)] + [("j", "w", "queued", 0, None, 0, 0, "1", None, None, None, None, None, None)]
+    delays = spark.createDataFrame([("h.test", 1500)], "host string, delay_ms bigint")
+    times = sorted(r.start_ms for r in upkeep.polite_times(spark.createDataFrame(data, FULL), delays, 1000).collect())
+    assert times == [1000 + 1500 * i for i in range(20)]
+
+
+def test_marks_need_the_lease(spark):
+    base = ("processing", 1, "h.test", 0, 0, "1", None, None, None)
+    held = spark.createDataFrame([("j", u, *base, "w1", 9, "8") for u in "abc"], FULL)
+    results = spark.createDataFrame([("j", "a", "w1", None), ("j", "b", "w2", None), ("j", "c", None, "HTTP  503")], "job_id string, url string, worker string, error string")
+    got = rows(upkeep.marked(held, results, "now"), "url", "state", "last_error", "failure_type", "lease_owner")
+    assert got == [("a", "fetched", None, None, None), ("b", "processing", None, None, "w1"), ("c", "failed", "HTTP 503", "http_5xx", None)]
+
+
+def test_notes_follow_their_log(spark):
+    notes = spark.createDataFrame([(1, "q", "b", "s"), (2, "q2", "b2", "s2"), (4, "q4", "b4", None)], "id long, quote string, body string, source_url string")
+    log = [(1, "update", 1, None, "new", None), (2, "delete", 2, None, None, None), (3, "update", 2, "x", None, None), (4, "create", 3, "q3", "b3", None), (5, "delete", 3, None, None, None), (6, "create", 3, "again", None, "s3"), (7, "update", 9, "no", None, None)]
+    changes = spark.createDataFrame(log, "seq long, action string, id long, quote string, body string, source_url string")
+    assert rows(upkeep.changed_notes(notes, changes)) == [(1, "q", "new", "s"), (3, "again", None, "s3"), (4, "q4", "b4", None)]
+    tags = spark.createDataFrame([(1, 3, "B"), (1, 1, " a "), (1, 2, "b"), (1, 4, ""), (1, 5, None)], "note_id long, pos int, tag string")
+    assert rows(upkeep.tags_in_order(tags)) == [(1, ["a", "b"])]
+    pages, taken = spark.createDataFrame([("s",), ("s3",)], "url string"), notes.withColumn("created_at", notes.id.cast("string"))
+    assert rows(upkeep.note_graph(pages, taken, most_notes=2)) == [("note", "2", None), ("note", "4", None), ("page", "s", None), ("page", "s3", None)]
+
+
+def test_pages_of_lists(spark):
+    df = spark.range(45).toDF("id")
+    last = upkeep.paged(df, [df.id.desc()], 3).collect()
+    assert [r.id for r in last] == [4, 3, 2, 1, 0] and {(r.page, r.total, r.total_pages) for r in last} == {(3, 45, 3)}
+    assert upkeep.paged(df, [df.id], 0).first().page == 1 and upkeep.paged(df.limit(0), [df.id]).count() == 0
+    assert rows(upkeep.schema_version(spark.createDataFrame([], "version int"))) == [(0,)]
