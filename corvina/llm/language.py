@@ -107,7 +107,9 @@ class Profiles:
         """
         lengths = np.array([len(t) for t in texts])
         chars = self.char[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        of = np.repeat(np.arange(len(texts)), lengths)
+        # Keys of (text, n-gram) fit 32 bits: a batch has fewer texts than BATCH / 4, and all profiles fewer n-grams than 2 ** 12.
+        narrow = np.int32 if len(texts) * (self.size + 1) < 2**31 else np.int64
+        of = np.repeat(np.arange(len(texts), dtype=narrow) * self.size, lengths)
         pair = chars[:-1] * self.width + chars[1:]
         same = of[:-1] == of[1:]
         two = np.where(same, self.two[pair], -1)
@@ -115,10 +117,10 @@ class Profiles:
         three = np.where(same[1:], self.three[head[:-1].astype(np.int32) * self.width + chars[2:]], -1) if len(chars) > 2 else np.zeros(0, dtype=np.int16)
         one = self.one[chars]
         found = np.concatenate([one, two, three])
-        owner = np.concatenate([of, of[:-1], of[: len(three)]])
+        keys = np.concatenate([of, of[:-1], of[: len(three)]])
         keep = found >= 0
-        keys, n = np.unique(owner[keep].astype(np.int64) * self.size + found[keep], return_counts=True)
-        owner, found = keys // self.size, keys % self.size
+        keys, n = np.unique(keys[keep] + found[keep], return_counts=True)
+        owner, found = keys.astype(np.int64) // self.size, keys.astype(np.int64) % self.size
         # By text, then frequency, ties in the order of the n-grams' least rank over the languages, so that they favour
         # none; all packed into one number, which sorts fastest.
         packed = np.sort(((owner << 20 | (1 << 20) - 1 - np.minimum(n, (1 << 20) - 1)) * (PROFILE + 1) + self.least[found]) * self.size + found)
