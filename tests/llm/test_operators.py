@@ -59,13 +59,17 @@ def test_table_and_rule_agree(text):
     assert canonical.canonical(text) == canonical._compose(text)
 
 
-def test_look_alike_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("group", [1, 2, 2048])
+def test_look_alike_pairs_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(canonical, "GROUP_ROWS", group)
     values = ["Abc", "Аbс", "A​bc", "abc", "Abd", None, "", "​", "Abc", " ", "Ａｂｃ"]
     df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(values)] + [(0, "Abc", "x")], "id int, v string, look string")
     got = rows(canonical.look_alike_pairs(canonical.look_keys(df, "id", "v"), "id"))
     form = [canonical.canonical(v) for v in values]
     want = [(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if form[i] and form[i].strip() and form[i] == form[j] and values[i] != values[j]]
     assert got == sorted(want, key=str)
+    classes = {r.id: (r.look, r.spellings, r.members) for r in canonical.look_classes(canonical.look_keys(df, "id", "v"), "id").collect()}
+    assert len({classes[i][0] for i in (0, 1, 2, 8, 10)}) == 1 and classes[0][1:] == (4, 5) and classes[3][1:] == (1, 1) and set(classes) == {0, 1, 2, 3, 4, 8, 10}
     assert rows(canonical.look_alike_pairs(canonical.look_keys(df.limit(0), "id", "v"), "id")) == []
 
 
@@ -77,7 +81,10 @@ def test_site_of_urls(spark):
     assert [r[0] for r in df.select(pages.site(df.url)).collect()] == ["a.test", "b.test", None, None]
 
 
-def test_repeated_lines_against_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_repeated_lines_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(site_lines, "MOST_NARROW", most)
+    monkeypatch.setattr(site_lines, "MOST_WIDE", most)
     rnd = random.Random(3)
     pool = ["Share this 12", "SHARE  this 3", "© 2030 A", "— 4 —", "Body one", "Body two", "", "共有する", "share this"]
     texts = [("\n".join(rnd.choices(pool, k=rnd.randint(0, 5))) if i else None) for i in range(40)]
