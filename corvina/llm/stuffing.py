@@ -31,7 +31,7 @@ from corvina.llm.analysis import STUFFED, Page, common_words, read_pages
 from corvina.session import stage
 
 #: Mean normalized mutual information between which neighbours hang together as in running text.
-LOW, HIGH = 0.46, 0.78
+LOW, HIGH = 0.48, 0.78
 
 #: Times a pair of neighbours occurs in a body to be recurring, and the excess from which collocations are stuffed.
 RECURS, EXCESS = 3, 1.5
