@@ -276,15 +276,32 @@ def look_keys(df: DataFrame, id_column: str, value: str) -> DataFrame:
     return rows.mapInArrow(_look_keys, schema).where(F.col("look").isNotNull())
 
 
+#: Rows of one look that meet in one task; more are split.
+GROUP_ROWS = 2_048
+
+
+def look_classes(keyed: DataFrame, id_column: str) -> DataFrame:
+    """(id, look, spellings, members): one row per id with the class it looks like, in how many ways that is stored and by how many rows.
+
+    The class is all that is needed to compare or merge; nothing is paired, so a look of any size costs its rows only.
+    """
+    rows = keyed.select(F.col(id_column).alias("id"), "look", "stored").distinct()
+    spellings = rows.groupBy("look", "stored").agg(F.count("*").alias("n")).groupBy("look").agg(F.count("*").alias("spellings"), F.sum("n").alias("members"))
+    return rows.select("id", "look").join(spellings, "look").select("id", "look", "spellings", "members")
+
+
 def look_alike_pairs(keyed: DataFrame, id_column: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows with equal ``look`` and different ``stored``.
 
     Only looks that are stored in two or more ways take part, which is settled by pre-aggregation before anything is
-    joined; rows with one and the same stored value never meet each other.  Repeated ids give each pair once.
+    joined; rows with one and the same stored value never meet each other.  A look with many rows is split: one side of
+    its pairs is spread over parts of about ``GROUP_ROWS`` rows, to each of which the other side is sent.  Repeated ids
+    give each pair once.
     """
     rows = keyed.select(F.col(id_column).alias("id"), "look", "stored").distinct()
-    mixed = rows.groupBy("look").agg(F.min("stored").alias("s0"), F.max("stored").alias("s1")).where("s0 <> s1").select("look")
-    rows = rows.join(mixed, "look", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.stored") != F.col("b.stored")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    mixed = rows.groupBy("look").agg(F.min("stored").alias("s0"), F.max("stored").alias("s1"), F.count("*").alias("n")).where("s0 <> s1").select("look", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
+    rows = rows.join(mixed, "look")
+    a = rows.select("look", F.col("stored").alias("stored_a"), F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    b = rows.select("look", F.col("stored").alias("stored_b"), F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, ["look", "part"]).where("stored_a <> stored_b AND id_a < id_b")
+    return pairs.select("id_a", "id_b").distinct()

@@ -24,6 +24,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return named(titles, "title").unionByName(named(texts, "text"))
 
 
+def p1_look_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every title with the class of those that look the same, by the least id that has it, and in how many ways that class is stored."""
+    ship(spark)
+    classes = canonical.look_classes(canonical.look_keys(table(spark, d, "documents"), "doc_id", "title"), "doc_id")
+    first = classes.groupBy("look").agg(F.min("id").alias("class_id"))
+    return classes.join(first, "look").select(F.col("id").alias("doc_id"), "class_id", "spellings", "members")
+
+
 def p1_canonical_titles(spark: SparkSession, d: str) -> DataFrame:
     """Every title in the consistent form."""
     ship(spark)
@@ -105,6 +113,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.join(_ids(spark, d), "url").select("doc_id").distinct()
 
 
+def p10_text_types(spark: SparkSession, d: str) -> DataFrame:
+    """The text type of every document whose text isn't residue, with the posterior of each type; nulls for an empty body."""
+    pages = _analysed(spark, d).where("NOT residue")
+    return pages.join(_ids(spark, d), "url").select("doc_id", "text_type", *[F.round(c, 6).alias(c) for c in prose.TYPES.values()])
+
+
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Word count, mean word length, symbol ratio, lines ending in punctuation and common words of every text."""
     return prose.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
@@ -133,7 +147,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_canonical_titles, p1_canonical_texts, p2_found, p4_found, p5_found, p5_languages, p7_found, p10_found, p10_statistics, p3_found, p3_clean_texts, p8_ids, p9_containers)
+    f.__name__: f for f in (p1_found, p1_look_classes, p1_canonical_titles, p1_canonical_texts, p2_found, p4_found, p5_found, p5_languages, p7_found, p10_found, p10_text_types, p10_statistics, p3_found, p3_clean_texts, p8_ids, p9_containers)
 }
 
 _SITE = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)', 1)"
