@@ -348,12 +348,12 @@ def suggestions(documents: DataFrame, prefix: str, most: int = 8) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def _snippet(texts: pd.Series, terms: pd.Series, size: pd.Series) -> pd.Series:
+def _snippet(texts: pd.Series, terms: pd.Series, size: pd.Series, opening: pd.Series, closing: pd.Series) -> pd.Series:
     import re
 
     word = re.compile(r"[^\W_]+")
 
-    def one(text: str | None, wanted: Sequence[str], most: int) -> str | None:
+    def one(text: str | None, wanted: Sequence[str], most: int, before: str, behind: str) -> str | None:
         if text is None:
             return None
         spans = [(m.start(), m.end(), ql.fold(m.group())) for m in word.finditer(text)]
@@ -372,17 +372,57 @@ def _snippet(texts: pd.Series, terms: pd.Series, size: pd.Series) -> pd.Series:
         out, at = [], window[0][0]
         for k, (a, b, _) in enumerate(window, best):
             out.append(text[at:a])
-            out.append(f"<mark>{text[a:b]}</mark>" if marks[k] else text[a:b])
+            out.append(f"{before}{text[a:b]}{behind}" if marks[k] else text[a:b])
             at = b
         return ("..." if best else "") + "".join(out) + ("..." if best + most < len(spans) else text[at:])
 
-    return pd.Series([one(t, list(w), int(n)) for t, w, n in zip(texts, terms, size)], dtype=object)
+    return pd.Series([one(t, list(w), int(n), a, b) for t, w, n, a, b in zip(texts, terms, size, opening, closing)], dtype=object)
 
 
-def snippets(top: DataFrame, documents: DataFrame, query: str, size: int = 22) -> DataFrame:
+def snippets(top: DataFrame, documents: DataFrame, query: str, size: int = 22, marks: tuple[str, str] = ("<mark>", "</mark>")) -> DataFrame:
     """``top`` (a page of rows with a url) with ``snippet``: the window of the text that covers most distinct terms, marked.
 
     Texts are joined to the page only, never to all hits.
     """
     terms = F.array(*[F.lit(t) for t, _ in sorted(ql.terms(ql.parse(query)))])
-    return top.join(documents.select("url", "text"), "url").withColumn("snippet", _snippet("text", terms, F.lit(size))).drop("text")
+    return top.join(documents.select("url", "text"), "url").withColumn("snippet", _snippet("text", terms, F.lit(size), F.lit(marks[0]), F.lit(marks[1]))).drop("text")
+
+
+def narrowed(rows: DataFrame, domain: str = "", since: str = "", until: str = "") -> DataFrame:
+    """Rows (url, indexed_at, ...) whose host holds ``domain`` anywhere and whose day lies between two days, both included.
+
+    Empty strings don't restrict.  A row without a readable address passes only where no domain is asked for.
+    """
+    if domain.strip():
+        rows = rows.where(F.contains(F.coalesce(host(F.col("url")), F.lit("")), F.lit(domain.strip().lower())))
+    day = F.substring("indexed_at", 1, 10)
+    if since:
+        rows = rows.where(day >= since)
+    return rows.where(day <= until) if until else rows
+
+
+#: Hits of a kind that a local search shows at most, and words of its snippets.
+MOST_LOCAL, LOCAL_SNIPPET = 50, 18
+
+
+def local_hits(rows: DataFrame, query: str) -> DataFrame:
+    """(key, score, at) of (url, title, text, at) rows that match a query, title and text weighing the same.
+
+    Where none does and the query has Hangul, the rows that hold all its two-character n-grams, with a score of 0.
+    """
+    documents = rows.select("url", "title", "text")
+    found = hits_by_scan(documents, query, (1.0, 1.0))
+    if any("\uac00" <= c <= "\ud7a3" for c in query):
+        wanted = sorted({word[i : i + 2] for word in ql.tokenize(query) for i in range(max(1, len(word) - 1))})
+        none = found.limit(1).agg((F.count("*") == 0).alias("is_empty"))
+        grams = F.array_union(tx.bigrams(F.col("title")), tx.bigrams(F.col("text")))
+        held = documents.where(F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in wanted]))) == len(wanted)) if wanted else documents.limit(0)
+        found = found.unionByName(held.crossJoin(F.broadcast(none)).where("is_empty").select("url", F.lit(0.0).alias("bm25")))  # one row
+    return found.join(rows.select("url", "at"), "url").select(F.col("url").alias("key"), F.col("bm25").alias("score"), "at")
+
+
+def page_of_kinds(unified: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of unified hits (kind, key, rank), documents before notes; at most ``MOST_LOCAL`` of a kind, so one task orders them."""
+    number, size = max(1, number), min(MOST_LOCAL, max(1, size))
+    ordered = unified.orderBy("kind", "rank")
+    return (ordered.offset((number - 1) * size) if number > 1 else ordered).limit(size)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import text as tx
 from corvina.functions import urls as ur
-from corvina.operators import index, search
+from corvina.operators import index, search, workspace
 from corvina.operators.search import Filters, by_date, by_relevance, page
 from corvina.session import drop_at_exit, sent_if_small, shared_folder, spread, table
 
@@ -151,6 +151,28 @@ def fallback_preview(spark: SparkSession, d: str) -> DataFrame:
     return search.title_preview(found.join(table(spark, d, "documents").select("url", "title"), "url")).select("url", "preview")
 
 
+def _local(spark: SparkSession, d: str, query: str) -> DataFrame:
+    """Hits among pages and among notes, here the titles of all documents."""
+    docs = corpus(spark, d).join(table(spark, d, "documents").select("url", F.col("indexed_at").alias("at")), "url")
+    notes = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), "title", F.lit(None).cast("string").alias("text"), F.col("indexed_at").alias("at"))
+    return workspace.unified(search.local_hits(docs, query), search.local_hits(notes, query), search.MOST_LOCAL)
+
+
+def local_search_page3(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of a search over pages and notes together."""
+    return search.page_of_kinds(_local(spark, d, "library"), 3)
+
+
+def local_search_korean(spark: SparkSession, d: str) -> DataFrame:
+    """A Korean query without hits: what holds all its two-character n-grams."""
+    return _local(spark, d, "서관").select("kind", "key")
+
+
+def narrowed_results(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of some days on hosts whose name holds a word."""
+    return search.narrowed(table(spark, d, "documents").select("url", "indexed_at"), "wiki", "2031-02-01", "2031-02-28")
+
+
 def suggestions_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Completions of what a reader typed."""
     return search.suggestions(table(spark, d, "documents"), "notes on a")
@@ -223,7 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ranked_search, indexed_search, scanned_search, bm25_and_search, bm25_unweighted, boolean_or_not, phrase_search, near_search, initial_token, prefix_and_column, search_newest_page2, search_filtered, search_domain,
-        search_count, facet_domains, facet_dates, fallback_search, fallback_count, fallback_preview, suggestions_prefix, snippet_top20, term_statistics, token_index, content_hash_dedupe, duplicate_pages, capped_authority,
+        search_count, facet_domains, facet_dates, fallback_search, fallback_count, fallback_preview, local_search_page3, local_search_korean, narrowed_results, suggestions_prefix, snippet_top20, term_statistics, token_index, content_hash_dedupe, duplicate_pages, capped_authority,
         out_degree, quality_scores, detect_script, canonical_urls, public_targets, page_statistics,
     )
 }
@@ -271,7 +293,19 @@ _SEARCH_WORDS = rf"""WITH {_CORPUS},
     s AS (SELECT url, list_transform(words, lambda x: struct_pack(x := x, s := CASE WHEN regexp_full_match(x, '[\x{{AC00}}-\x{{D7A3}}]+') THEN regexp_replace(x, '^(.{{2,}}?)(?:{"|".join(tx.KOREAN_SUFFIXES)})$', '\1') WHEN regexp_matches(x, '[\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]') THEN x END)) AS words FROM w)"""
 _FALLBACK = _SEARCH_WORDS + ", hit AS (SELECT url FROM s WHERE NOT list_contains(list_transform(words, lambda w: w.x), '도서관처럼')" + "".join(f" AND len(list_filter(words, lambda w: w.x = '{g}' OR contains(w.s, '{g}'))) > 0" for g in ("도", "도서", "서", "서관", "관")) + ")"
 
+_NOTES = _CORPUS.replace("SELECT url, max(struct_pack(text := text, title := title)) AS r FROM document_search GROUP BY url", "SELECT CAST(doc_id AS VARCHAR) AS url, struct_pack(text := CAST(NULL AS VARCHAR), title := title) AS r FROM documents")
+
+
+def _top(kind: str, bm25: str, at: str) -> str:
+    return f"SELECT '{kind}' AS kind, url AS key, CAST(row_number() OVER (ORDER BY bm25 DESC, moment DESC, url) AS INTEGER) AS rank FROM ({bm25} SELECT url, bm25, moment FROM scored JOIN ({at}) USING (url) WHERE matched = 1 ORDER BY bm25 DESC, moment DESC, url LIMIT 50)"
+
+
+_GRAMS = " AND ".join(f"len(list_filter(w, lambda x: contains(x, '{g}'))) > 0" for g in ("서관",))
+
 ORACLE: dict[str, str] = {
+    "local_search_page3": "SELECT * FROM (" + _top("document", _bm25("library", wa=1), "SELECT url, indexed_at AS moment FROM documents") + " UNION ALL " + _top("note", _bm25("library", wa=1).replace(_CORPUS, _NOTES), "SELECT CAST(doc_id AS VARCHAR) AS url, indexed_at AS moment FROM documents") + ") ORDER BY kind, rank LIMIT 20 OFFSET 40",
+    "local_search_korean": f"WITH {_CORPUS}, d AS (SELECT url, list_concat(a, b) AS w FROM toks), n AS (SELECT CAST(doc_id AS VARCHAR) AS key, {_TOKENS.format('title')} AS w FROM documents) SELECT 'document' AS kind, url AS key FROM d JOIN documents USING (url) WHERE {_GRAMS} UNION ALL SELECT 'note', key FROM n WHERE {_GRAMS}",
+    "narrowed_results": f"SELECT url, indexed_at FROM documents WHERE contains({_HOST}, 'wiki') AND substr(indexed_at, 1, 10) BETWEEN '2031-02-01' AND '2031-02-28'",
     "fallback_search": _FALLBACK + " SELECT url FROM hit",
     "fallback_count": _FALLBACK + " SELECT count(*) AS hits, true AS is_fallback FROM hit",
     "fallback_preview": _FALLBACK + " SELECT url, substr(coalesce(title, ''), 1, 180) AS preview FROM hit JOIN documents USING (url)",

@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from corvina.operators import index, search
+from corvina.operators import index, search, workspace
 from corvina.operators import querylang as ql
 from tests.conftest import rows
 
@@ -161,3 +161,19 @@ def test_fallback_counts_and_previews(spark):
     found = search.hits_by_scan(docs, "역사")
     assert rows(search.hit_counts(found, grams, "역사")) == [(1, False)]
     assert rows(search.title_preview(docs.select("url", "title"), 2), "url", "preview") == [("k", "검색"), ("m", "한국")]
+
+
+def test_local_search_over_pages_and_notes(spark):
+    schema = "url string, title string, text string, at string"
+    pages = spark.createDataFrame([(f"p{i}", "mill" if i == 3 else "t", "the mill", f"{i:02}") for i in range(60)] + [("k", "도서관", "책", "99")], schema)
+    notes = spark.createDataFrame([("1", "a mill", None, "1"), ("2", None, None, None)], schema)
+    both = workspace.unified(search.local_hits(pages, "mill"), search.local_hits(notes, "mill"), search.MOST_LOCAL)
+    assert both.count() == 51 and [(r.kind, r["rank"]) for r in search.page_of_kinds(both, 3).collect()] == [("document", i) for i in range(41, 51)] + [("note", 1)]
+    assert rows(search.local_hits(pages, "서관")) == [("k", 0.0, "99")] and rows(search.local_hits(pages, "absent")) == [] and rows(search.local_hits(pages.limit(0), "서관")) == []
+
+
+def test_narrowed_results(spark):
+    df = spark.createDataFrame([("https://A.wiki.test/1", "2031-01-01T05"), ("https://b.test/2", "2031-01-02T05"), ("nothing", "2031-01-03T05"), (None, None)], "url string, indexed_at string")
+    assert rows(search.narrowed(df, " Wiki ")) == [("https://A.wiki.test/1", "2031-01-01T05")]
+    assert [r[0] for r in rows(search.narrowed(df, "", "2031-01-02", "2031-01-03"))] == ["https://b.test/2", "nothing"] and search.narrowed(df).count() == 4
+    assert rows(search.snippets(df.limit(1).select("url"), df.select("url", F.lit("see the mill").alias("text")), "mill", 18, ("<b>", "</b>")), "snippet") == [("see the <b>mill</b>",)]
