@@ -120,10 +120,24 @@ def next_status(status: Column, action: Column) -> Column:
     )
 
 
-def fold_statuses(events: DataFrame, start: str = "queued") -> DataFrame:
-    """(job_id, status) from (job_id, seq, action) events: a fold over each job's actions in order."""
+#: Actions of a job that are folded in one piece.
+LOG_CHUNK = 10_000
+
+
+def fold_statuses(events: DataFrame, start: str = "queued", chunk: int = LOG_CHUNK) -> DataFrame:
+    """(job_id, status) from (job_id, seq, action) events: a fold over each job's actions in order.
+
+    What a run of actions does is a map from status to status, and maps compose.  So a job's log is cut by ``seq`` into
+    chunks, each is folded for every status it may start with, and only those maps, one per chunk, meet in one place: a
+    job with most of all events is spread over the cluster.
+    """
+    statuses = F.array(*[F.lit(s) for s in STATUSES])
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", "action"))), lambda e: e["action"])
-    return events.groupBy("job_id").agg(ordered.alias("actions")).select("job_id", F.aggregate("actions", F.lit(start), lambda s, a: next_status(s, a)).alias("status"))
+    pieces = events.groupBy("job_id", F.floor(F.col("seq") / chunk).alias("piece")).agg(ordered.alias("actions"))
+    maps = pieces.select("job_id", "piece", F.transform(statuses, lambda s: F.aggregate(F.col("actions"), s, next_status)).alias("ends"))
+    after = lambda s, ends: F.get(ends, F.array_position(statuses, s).cast("int") - 1)
+    whole = maps.groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ends"))), lambda m: m["ends"]).alias("maps"))
+    return whole.select("job_id", F.aggregate("maps", F.lit(start), after).alias("status"))
 
 
 def due_jobs(jobs: DataFrame, now_ms: int) -> DataFrame:
@@ -140,10 +154,10 @@ def allowed_entries(frontier: DataFrame, jobs: DataFrame, blocks: DataFrame) ->
     return joined.select("job_id", "url", reason.alias("reason"))
 
 
-def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """(origin, path, allow, length) of the rules for ``agent``, from (origin, text).
+def _robots_lines(robots: DataFrame, agent: str) -> DataFrame:
+    """(origin, n, key, value) of the lines that concern ``agent``, from (origin, text).
 
-    Groups whose agent is a prefix of ours apply, or else the ``*`` groups; rules of all that apply are taken together.
+    Groups whose agent is a prefix of ours apply, or else the ``*`` groups.
     """
     lines = robots.select("origin", F.posexplode(F.split("text", r"\r?\n")).alias("n", "raw"))
     lines = lines.select("origin", "n", F.trim(F.regexp_replace("raw", "#.*$", "")).alias("line")).where("line <> ''")
@@ -154,10 +168,26 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     agents = lines.where("key = 'user-agent'").select("origin", "block", F.lower("value").alias("agent"))
     own = agents.where((F.col("agent") != "*") & F.lit(agent.lower()).startswith(F.col("agent"))).select("origin", "block").distinct()
     other = agents.where("agent = '*'").select("origin", "block").distinct().join(own.select("origin").distinct(), "origin", "left_anti")
-    rules = lines.where(F.col("key").isin("allow", "disallow") & (F.col("value") != "")).join(own.unionByName(other), ["origin", "block"])
+    return lines.join(own.unionByName(other), ["origin", "block"]).select("origin", "n", "key", "value")
+
+
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """(origin, path, allow, length) of the rules for ``agent``, from (origin, text); rules of all groups that apply are taken together."""
+    rules = _robots_lines(robots, agent).where(F.col("key").isin("allow", "disallow") & (F.col("value") != ""))
     return rules.select("origin", F.col("value").alias("path"), (F.col("key") == "allow").alias("allow"), F.length("value").alias("length"))
 
 
+#: The longest delay a robots file can ask for.
+MOST_CRAWL_DELAY_MS = 30_000
+
+
+def robots_delays(robots: DataFrame, agent: str) -> DataFrame:
+    """(origin, delay_ms) of the first delay asked for in a group that applies to ``agent``, 0 to ``MOST_CRAWL_DELAY_MS``; origins without one have no row."""
+    asked = _robots_lines(robots, agent).where("key = 'crawl-delay'").select("origin", "n", F.col("value").try_cast("double").alias("seconds")).where("seconds IS NOT NULL AND NOT isnan(seconds)")
+    first = asked.groupBy("origin").agg(F.min_by("seconds", "n").alias("seconds"))
+    return first.select("origin", F.least(F.greatest(F.col("seconds") * 1000, F.lit(0.0)), F.lit(float(MOST_CRAWL_DELAY_MS))).cast("long").alias("delay_ms"))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, allowed) for (origin, url, path): the longest matching rule decides, Allow before Disallow; without one a page is allowed."""
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(rules["path"], r"([.+^${}()|\[\]\\?])", r"\\$1"), r"\*", ".*"))

@@ -41,6 +41,12 @@ def robots_longest_match(spark: SparkSession, d: str) -> DataFrame:
     return frontier.robots_allowed(paths, rules)
 
 
+def robots_crawl_delay(spark: SparkSession, d: str) -> DataFrame:
+    """How long robots files ask us to wait."""
+    files = [("a", "User-agent: *\nCrawl-delay: 2\n"), ("b", "User-agent: *\nCrawl-delay: 9\n\nUser-agent: corvina\nCrawl-delay: 0.5\nDisallow: /x\n"), ("c", "User-agent: *\nCrawl-delay: 900\n"), ("d", "User-agent: *\nCrawl-delay: soon\n"), ("e", None)]
+    return frontier.robots_delays(spark.createDataFrame(files, "origin string, text string"), "corvina/1.0")
+
+
 def sitemaps(spark: SparkSession, d: str) -> DataFrame:
     """Pages named by sitemaps reached through an index, and the sitemaps a robots file names."""
     maps = spark.createDataFrame(
@@ -162,12 +168,13 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        extract_pages, body_caps, robots_longest_match, sitemaps, public_addresses, retry_headers, content_types, token_ngrams, nfkc_fold_tokens, web_addresses, resolve_links, note_tags_attach, import_antijoin,
+        extract_pages, body_caps, robots_crawl_delay, robots_longest_match, sitemaps, public_addresses, retry_headers, content_types, token_ngrams, nfkc_fold_tokens, web_addresses, resolve_links, note_tags_attach, import_antijoin,
         unified_search, visible_subgraph, snapshot_verify, signed_events, index_batch_upsert, capped_links, delete_domain, query_terms,
     )
 }
 
 ORACLE: dict[str, str] = {
+    "robots_crawl_delay": "SELECT * FROM (VALUES ('a', CAST(2000 AS BIGINT)), ('b', 500), ('c', 30000)) v(origin, delay_ms)",
     "extract_pages": "SELECT * FROM (VALUES ('https://h.test/x/', 'Tea & Rain', 'Tea & Rain On tea Warm cups <here> a b m a', 'https://h.test/a https://b.test/c', 'On tea', 'https://h.test/tea', true, false), ('https://e.test/', 'e.test', '', '', '', NULL, true, true)) t(url, title, text, links, headings, canonical_url, noindex, nofollow)",
     "body_caps": "SELECT body, coalesce(octet_length(encode(body)), 0) <= 5 AS kept FROM (VALUES ('ééé'), ('abcde'), (NULL)) t(body)",
     "robots_longest_match": "SELECT * FROM (VALUES ('/', true), ('/private/x', false), ('/private/open/y', true)) t(url, allowed)",

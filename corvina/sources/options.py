@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
+from urllib.parse import urlsplit
 
 from corvina.operators.search import Filters
 
@@ -118,3 +119,92 @@ def retention(cutoff: str, delete_documents: bool = False, dry_run: object = Non
     if day is None:
         raise InvalidOption("cutoff is required")
     return Retention(f"{day}T00:00:00.000Z", bool(delete_documents), dry_run is not False)
+
+
+# Lifecycle events that can be sent, and those that are unless others are named.
+EVENTS = ("crawl.submitted", "crawl.running", "crawl.completed", "crawl.failed", "crawl.cancelled", "crawl.paused", "crawl.resumed", "crawl.restarted", "crawl.retry_queued")
+DEFAULT_EVENTS = ("crawl.completed", "crawl.failed", "crawl.cancelled")
+
+#: Minutes between backups, backups that are kept (and by default), characters of a secret, an address and a user agent.
+BACKUP_MINUTES, BACKUPS_KEPT, BACKUPS_DEFAULT = (15, 7 * 24 * 60), (1, 365), 7
+SECRET_LENGTH, MOST_ADDRESS, MOST_AGENT = (16, 512), 2_000, 240
+
+
+@dataclass(frozen=True)
+class Operations:
+    """How a service is run: where events go, how often tables are backed up, as whom pages are asked for."""
+
+    webhook_url: str | None = None
+    webhook_secret: str | None = None
+    webhook_events: tuple[str, ...] = ()
+    backup_minutes: int | None = None
+    backups_kept: int = BACKUPS_DEFAULT
+    user_agent: str = "corvina-bot/1.0"
+
+
+def _whole(raw: str, low: int, high: int, name: str) -> int:
+    if not re.fullmatch(r"[0-9]{1,9}", raw) or not low <= int(raw) <= high:
+        raise InvalidOption(f"{name} must be a whole number from {low} to {high}")
+    return int(raw)
+
+
+def operations(settings: Mapping[str, str]) -> Operations:
+    """Operations from settings as text: webhook_url, webhook_secret, webhook_events, backup_minutes, backups_kept, user_agent.
+
+    Blank settings count as missing.  An address and a secret come together; the address is https without user and
+    fragment.
+    """
+    given = {k: v.strip() for k, v in settings.items() if v is not None and v.strip()}
+    out: dict = {}
+    if "backup_minutes" in given:
+        out["backup_minutes"] = _whole(given["backup_minutes"], *BACKUP_MINUTES, "backup_minutes")
+        out["backups_kept"] = _whole(given.get("backups_kept", str(BACKUPS_DEFAULT)), *BACKUPS_KEPT, "backups_kept")
+    if "user_agent" in given:
+        if len(given["user_agent"]) > MOST_AGENT or not given["user_agent"].isprintable():
+            raise InvalidOption(f"user_agent must be printable, of at most {MOST_AGENT} characters")
+        out["user_agent"] = given["user_agent"]
+    if ("webhook_url" in given) != ("webhook_secret" in given):
+        raise InvalidOption("webhook_url and webhook_secret must be set together")
+    if "webhook_url" in given:
+        parts = urlsplit(given["webhook_url"])
+        if parts.scheme != "https" or not parts.hostname or parts.username or parts.password or parts.fragment or len(given["webhook_url"]) > MOST_ADDRESS:
+            raise InvalidOption("webhook_url must be an https address without user and fragment")
+        if not SECRET_LENGTH[0] <= len(given["webhook_secret"]) <= SECRET_LENGTH[1]:
+            raise InvalidOption(f"webhook_secret must have {SECRET_LENGTH[0]} to {SECRET_LENGTH[1]} characters")
+        events = tuple(dict.fromkeys(e.strip() for e in given.get("webhook_events", ",".join(DEFAULT_EVENTS)).split(",") if e.strip()))
+        if not events or any(e not in EVENTS for e in events):
+            raise InvalidOption(f"webhook_events must be some of {', '.join(EVENTS)}")
+        out |= {"webhook_url": given["webhook_url"], "webhook_secret": given["webhook_secret"], "webhook_events": events}
+    return Operations(**out)
+
+
+def admin_token(settings: Mapping[str, str]) -> str:
+    """The token of the operator; there is no running without one."""
+    token = (settings.get("admin_token") or "").strip()
+    if not token:
+        raise InvalidOption("admin_token must be set")
+    return token
+
+
+@dataclass(frozen=True)
+class Session:
+    """Open and recently closed pages of a reader."""
+
+    tabs: tuple[tuple[str, str], ...] = ()
+    active_url: str = ""
+    recently_closed: tuple[tuple[str, str], ...] = ()
+
+
+MOST_TABS = 20
+
+
+def session_of(raw: Mapping | None) -> Session:
+    """A session from stored JSON; entries without a title and an address as text are left out, ``MOST_TABS`` of a kind are kept."""
+    raw = raw or {}
+
+    def tabs(value: object) -> tuple[tuple[str, str], ...]:
+        rows = value if isinstance(value, list) else []
+        return tuple((t["title"], t["url"]) for t in rows if isinstance(t, Mapping) and isinstance(t.get("title"), str) and isinstance(t.get("url"), str))[:MOST_TABS]
+
+    active = raw.get("active_url")
+    return Session(tabs(raw.get("tabs")), active if isinstance(active, str) else "", tabs(raw.get("recently_closed")))

@@ -48,6 +48,9 @@ def test_lifecycle(spark):
     log = [("j", i, a) for i, a in enumerate(["start", "pause", "pause", "finish", "resume", "start", "finish", "cancel", "restart"])]
     assert rows(frontier.fold_statuses(spark.createDataFrame(log, "job_id string, seq int, action string"))) == [("j", "queued")]
     assert rows(frontier.fold_statuses(spark.createDataFrame(log[:8], "job_id string, seq int, action string"))) == [("j", "complete")]
+    for chunk in (1, 2, 3, 100):
+        assert rows(frontier.fold_statuses(spark.createDataFrame(log, "job_id string, seq int, action string"), chunk=chunk)) == [("j", "queued")]
+        assert rows(frontier.fold_statuses(spark.createDataFrame(log[:8] + [("k", 5, None), ("k", 7, "cancel")], "job_id string, seq int, action string"), chunk=chunk)) == [("j", "complete"), ("k", "cancelled")]
 
 
 def test_robots(spark):

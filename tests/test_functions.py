@@ -151,3 +151,22 @@ def test_options():
     with pytest.raises(options.InvalidOption):
         options.crawl_policy({"max_depth": 21})
     assert options.retention("2031-02-03").dry_run and not options.retention("2031-02-03", True, False).dry_run
+
+
+def test_operations_are_validated():
+    full = {"webhook_url": "https://h.test/x", "webhook_secret": "s" * 16, "webhook_events": "crawl.failed, crawl.failed", "backup_minutes": "15", "user_agent": "me/1"}
+    got = options.operations(full)
+    assert got.webhook_events == ("crawl.failed",) and (got.backup_minutes, got.backups_kept, got.user_agent) == (15, 7, "me/1")
+    assert options.operations({"webhook_url": " ", "backups_kept": "3"}) == options.Operations()
+    for wrong in ({"webhook_url": "http://h.test"}, {"webhook_url": "https://u@h.test/"}, {"webhook_secret": "short"}, {"webhook_events": "crawl.done"}, {"webhook_events": ","}, {"backup_minutes": "14"}, {"backups_kept": "0"}, {"user_agent": "a\nb"}, {"webhook_secret": ""}):
+        with pytest.raises(options.InvalidOption):
+            options.operations(full | wrong)
+    assert options.admin_token({"admin_token": " t "}) == "t"
+    with pytest.raises(options.InvalidOption):
+        options.admin_token({})
+
+
+def test_sessions_keep_what_can_be_read():
+    tab = {"title": "t", "url": "u"}
+    assert options.session_of({"tabs": [tab, {"title": 1, "url": "u"}, None, *[tab] * 30], "active_url": 3, "recently_closed": "x"}) == options.Session((("t", "u"),) * 20, "", ())
+    assert options.session_of(None) == options.Session()
