@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from corvina.llm import bodies, residue
-from corvina.llm.layout import classify, parse, with_template
+from corvina.llm.layout import classify, few_collections, parse, with_template
 from corvina.session import ship
 
 #: Kinds of units that are stuffed matter.
@@ -130,7 +130,8 @@ def read_pages(pages: DataFrame, documents: DataFrame, words: DataFrame, each, s
                     template = everywhere if everywhere is not None else set(own[0] or ())
                     yield url, Page(text, title, host, template, common), text
 
-        yield from each(read())
+        with few_collections():
+            yield from each(read())
 
     return rows.mapInArrow(run, schema)
 

@@ -78,6 +78,7 @@ class Profiles:
         for k, x in enumerate(self.languages):
             for r, g in enumerate(ranked[x]):
                 self.ranks[k, place[g]] = r
+        self.by_gram = np.ascontiguousarray(self.ranks.T.astype(np.int16))
         self.least = self.ranks.min(axis=0).astype(np.int64) if self.size else np.zeros(0, dtype=np.int64)
         chars = sorted({c for g in union for c in g})
         self.char = np.zeros(0x110000, dtype=np.int32)
@@ -133,10 +134,13 @@ class Profiles:
         total = np.bincount(owner, minlength=len(texts))
         out = np.ones((len(texts), len(self.languages)))
         some = total > 0
-        for k in range(len(self.languages)):
-            ranks = self.ranks[k][found]
-            away = np.where(ranks == PROFILE, PROFILE, np.minimum(np.abs(ranks - rank), PROFILE))
-            out[some, k] = (np.bincount(owner, weights=away, minlength=len(texts))[some]) / (total[some] * PROFILE)
+        if len(owner):
+            # One row per n-gram, one column per language; a text's rows stand together.
+            ranks = self.by_gram[found]
+            away = np.abs(ranks - rank[:, None].astype(np.int16))
+            away[ranks == PROFILE] = PROFILE
+            starts = np.concatenate([[0], np.cumsum(total[some])[:-1]])
+            out[some] = np.add.reduceat(np.minimum(away, PROFILE), starts, axis=0, dtype=np.int64) / (total[some] * PROFILE)[:, None]
         return out
 
 
