@@ -129,7 +129,6 @@ def describe(parts: list[Unit], common: frozenset[str]) -> Counter:
     A word that isn't common and recurs far more than a text needs is a keyword of the body; a unit that is mostly made
     of them is stuffed even where it is punctuated like prose.
     """
-    counts: Counter = Counter()
     for unit in parts:
         if _DIGIT.search(unit.text) or "://" in unit.text or "www." in unit.text:
             unit.marked = tokens(_MARKED.sub(_mark, unit.text))
@@ -138,7 +137,7 @@ def describe(parts: list[Unit], common: frozenset[str]) -> Counter:
             unit.words = unit.marked = tokens(unit.text)
         unit.common = sum([w in common for w in unit.words])
         unit.ended = ends_sentence(unit.text)
-        counts.update(unit.words)
+    counts = Counter([w for unit in parts for w in unit.words])
     dominant = keywords(counts, DOMINANT, common)
     for unit in parts:
         unit.kind = _kind(unit, dominant)

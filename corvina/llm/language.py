@@ -175,7 +175,7 @@ def segments(text: str, forms: Sequence[str] | None = None) -> list[tuple[int, s
         form = plain(line)
         if len(form) < 4:
             continue
-        if len(raw) >= LEAST_LINE and len(form) >= 14 and len(form.replace(" ", "")) >= 0.5 * len(line.replace(" ", "")):
+        if len(raw) >= LEAST_LINE and len(form) >= 14 and len(form) - form.count(" ") >= 0.5 * (len(line) - line.count(" ")):
             out.append((number, form))
         else:
             short.append(form)
@@ -196,29 +196,29 @@ def judge(profiles: Profiles, pages: Iterable[tuple]) -> Iterable[tuple]:
 
     def settle() -> Iterable[tuple]:
         far = profiles.distances(texts) if texts else np.zeros((0, len(profiles.languages)))
-        near = far.argmin(axis=1) if len(texts) else []
-        leads = np.zeros(len(texts))
+        near = far.argmin(axis=1).tolist() if len(texts) else []
+        leads = [0.0] * len(texts)
         if len(texts) and len(profiles.languages) > 1:
             two = np.partition(far, 1, axis=1)[:, :2]
-            leads = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
+            leads = (1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)).tolist()
         at = 0
         for key, numbers, sizes in held:
-            span = range(at, at + len(numbers))
-            at += len(numbers)
+            first, at = at, at + len(numbers)
             if not numbers:
                 yield key, None, 0.0, []
                 continue
-            weight, lead_of = np.zeros(len(profiles.languages)), np.zeros(len(profiles.languages))
-            for k, size in zip(span, sizes):
-                weight[near[k]] += size
-                lead_of[near[k]] += size * leads[k]
-            own = int(weight.argmax())
+            weight, lead_of = [0] * len(profiles.languages), [0.0] * len(profiles.languages)
+            for best, lead, size in zip(near[first:at], leads[first:at], sizes):
+                weight[best] += size
+                lead_of[best] += size * lead
+            own = weight.index(max(weight))
             lines = []
-            for k, number in zip(span, numbers):
-                lead = float((far[k, own] - far[k, near[k]]) / max(far[k, own], 1e-9))
-                if number and near[k] != own and lead >= LEAD:
-                    lines.append((number, profiles.languages[near[k]], lead))
-            yield key, profiles.languages[own], float(lead_of[own] / weight.sum()), lines
+            for k, number in enumerate(numbers, first):
+                if number and near[k] != own:
+                    lead = float((far[k, own] - far[k, near[k]]) / max(far[k, own], 1e-9))
+                    if lead >= LEAD:
+                        lines.append((number, profiles.languages[near[k]], lead))
+            yield key, profiles.languages[own], lead_of[own] / sum(weight), lines
         held.clear()
         texts.clear()
 

@@ -100,7 +100,7 @@ _ERROR = re.compile(
 
 # Any match of _ERROR contains one of these; a text without them needs no closer look.
 _HINTS = (
-    "err|fehler|not found|found on this server|find the page|introuvable|n'existe p|a été déplac|a été supprim|existiert nicht|wurde verschoben|wurde gelöscht|já não existe|ha sido |foi movida|foi removida|移動|削除|페이지가|页面已|encontrada|no existe|encontró|gefunden|見つかり|찾을 수|找不到|不存在|denied|forbidden|permission|verweigert|berechtigung|refusé|interdit|denegado|negado"
+    "error|erreur|erro |erro:|erro4|erro5|err |err:|err-|err.|fehler|not found|found on this server|find the page|introuvable|n'existe p|a été déplac|a été supprim|existiert nicht|wurde verschoben|wurde gelöscht|já não existe|ha sido mov|ha sido elim|foi movida|foi removida|移動|削除|페이지가|页面已|encontrada|no existe|encontró|nicht gefunden|見つかり|찾을 수|找不到|不存在|denied|forbidden|permission|verweigert|berechtigung|refusé|interdit|denegado|negado"
     "|접근 권한|アクセス|无权|拒绝|没有权限|internal server|gateway|unavailable|upstream|database connection|too many requests|suspended|expired|your hosting|maintenance|mantenimiento|checking your browser|verify|robot|erreichbar|wartung"
     "|indisponible|manutenção|indisponível|점검|メンテナンス|维护|暂时|服务不可用|traceback|file \"|exception|stack trace|request id|ray |kennung|요청 번호|page you|home page|start page|homepage|startpage|moved or deleted|请求|リクエスト"
     "|went wrong|reference |schiefgelaufen|algo salió|algo deu|問題が発生|문제가 발생|出了点问题"
