@@ -125,16 +125,21 @@ def visible_subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_verify(spark: SparkSession, d: str) -> DataFrame:
-    """A snapshot of two tables, read back and held against its manifest."""
+    """A snapshot of two tables held against its manifest after rows were added to one of them."""
     tables = {n: table(spark, d, n) for n in ("documents", "domain_blocks")}
-    snapshots.write(tables, shared_folder(spark) + "/corvina-snapshots", "verify")
-    return snapshots.verify(spark, shared_folder(spark) + "/corvina-snapshots", "verify")
+    folder = shared_folder(spark) + "/corvina-snapshots"
+    snapshots.write(tables, folder, "verify")
+    tables["domain_blocks"].write.mode("append").parquet(f"{folder}/verify/domain_blocks")
+    return snapshots.verify(spark, folder, "verify")
+
+
+_SECRET = "a secret of the operator"
 
 
 def signed_events(spark: SparkSession, d: str) -> DataFrame:
     """Signed lifecycle events of all failed jobs."""
     jobs = table(spark, d, "crawl_jobs").where("status = 'failed'")
-    return events.signed(events.payloads(jobs, "job.failed", "2031-03-20T00:00:00.000Z"), "secret").select("id", F.length("signature").alias("signature_length"))
+    return events.signed(events.payloads(jobs, "job.failed", "2031-03-20T00:00:00.000Z"), _SECRET).select("id", "payload", "signature")
 
 
 def index_batch_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -173,6 +178,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+def _pad(secret: str, byte: int) -> str:
+    """The key block of an HMAC, in hex: the secret filled to 64 bytes, each combined with ``byte``."""
+    return bytes(b ^ byte for b in secret.encode().ljust(64, bytes(1))).hex()
+
+
 ORACLE: dict[str, str] = {
     "robots_crawl_delay": "SELECT * FROM (VALUES ('a', CAST(2000 AS BIGINT)), ('b', 500), ('c', 30000)) v(origin, delay_ms)",
     "extract_pages": "SELECT * FROM (VALUES ('https://h.test/x/', 'Tea & Rain', 'Tea & Rain On tea Warm cups <here> a b m a', 'https://h.test/a https://b.test/c', 'On tea', 'https://h.test/tea', true, false), ('https://e.test/', 'e.test', '', '', '', NULL, true, true)) t(url, title, text, links, headings, canonical_url, noindex, nofollow)",
@@ -194,8 +205,10 @@ ORACLE: dict[str, str] = {
         SELECT kind, key, CAST(rank AS INTEGER) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE rank <= 20""",
     "visible_subgraph": """WITH n AS (SELECT url FROM documents ORDER BY indexed_at DESC, url LIMIT 1000), e AS (SELECT DISTINCT source_url, target_url FROM document_links JOIN n ON url = source_url WHERE target_url <> source_url),
         k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY target_url) <= 12) SELECT source_url, target_url FROM k WHERE target_url IN (SELECT url FROM n) ORDER BY 1, 2 LIMIT 45""",
-    "snapshot_verify": "SELECT 'documents' AS table_name, count(*) AS row_count, count(*) AS found, true AS is_valid FROM documents UNION ALL SELECT 'domain_blocks', count(*), count(*), true FROM domain_blocks",
-    "signed_events": "SELECT id, 64 AS signature_length FROM crawl_jobs WHERE status = 'failed'",
+    "snapshot_verify": "SELECT 'documents' AS table_name, count(*) AS row_count, count(*) AS found, true AS is_valid FROM documents UNION ALL SELECT 'domain_blocks', count(*), 2 * count(*), count(*) = 0 FROM domain_blocks",
+    "signed_events": f"""WITH p AS (SELECT id, '{{"event":"job.failed","occurredAt":"2031-03-20T00:00:00.000Z","jobId":' || to_json(id) || ',"status":"failed"' || coalesce(',"indexed":' || indexed, '') || coalesce(',"skipped":' || skipped, '') || coalesce(',"failed":' || failed, '')
+          || CASE WHEN error <> '' THEN ',"error":' || to_json(substr(trim(regexp_replace(error, '\\s+', ' ', 'g')), 1, 500)) ELSE '' END || '}}' AS payload FROM crawl_jobs WHERE status = 'failed')
+        SELECT id, payload, sha256(unhex('{_pad(_SECRET, 0x5C)}') || unhex(sha256(unhex('{_pad(_SECRET, 0x36)}') || encode(payload)))) AS signature FROM p""",
     "index_batch_upsert": """SELECT url, text_hash FROM documents WHERE text_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY indexed_at, url) = 1""",
     "capped_links": "SELECT source_url, target_url FROM (SELECT DISTINCT * FROM document_links WHERE target_url IS NOT NULL AND source_url <> target_url) QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY target_url) <= 3",
     "delete_domain": """WITH g AS (SELECT url FROM documents WHERE url = 'https://wynfada-wiki.example' OR starts_with(url, 'https://wynfada-wiki.example/'))
