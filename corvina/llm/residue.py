@@ -160,7 +160,7 @@ def bad_title(title: str | None) -> bool:
         return True
     # A title may carry the site's name behind a bar; what stands before it decides.
     head = re.split(r"\s[|·–—-]\s", form)[0]
-    return _BAD_TITLE.match(head) is not None and len(head) <= 60
+    return _BAD_TITLE.match(head) is not None
 
 
 def _scripts(text: str) -> bool:

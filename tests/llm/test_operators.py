@@ -296,6 +296,11 @@ def test_join_finds_what_is_asked_beyond_the_leaves(spark, monkeypatch):
             assert [x.text for x, g in zip(lines, gone) if g] == odd[r.url]
 
 
+def test_notices_with_choices_are_sentences():
+    line, cells = layout.parse("We count visits with cookies. Accept all | Settings\nBarge | 12 mm | Accept all", None, "h.test")
+    assert line.kind == "long" and line.whole is not None and cells.kind == "short"
+
+
 def test_long_lists_of_links_are_told_by_their_entries():
     titles = [f"The {a} of the {b}" for a, b in zip("mill lamp boat shed loom kiln gate well barn tram dock pier dune ford".split(), "lake hill road rail sand moss fern reed clay pine lark wren dove crow".split())]
     stuffed = [f"cheap lamp {w}" for w in "one two three four five six seven eight nine ten eleven twelve".split()]
