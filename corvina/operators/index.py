@@ -76,8 +76,8 @@ def first_links(links: DataFrame, most: int) -> DataFrame:
     return partial.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= most).select("source_url", "target_url")
 
 
-#: Tokens of a file of the stored postings, about.
-FILE_TOKENS = 4_000_000
+#: Tokens of a file of the stored postings, about, and the least it is worth giving a core a file of its own for.
+FILE_TOKENS, LEAST_TOKENS = 4_000_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,9 @@ def build(documents: DataFrame, links: DataFrame, quality: DataFrame, path: str,
     spark = documents.sparkSession
     search.corpus_stats(search.document_lengths(documents)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
     row = spark.read.parquet(f"{path}/statistics").first()
-    files = max(1, math.ceil((row.n or 0) * (row.avgdl or 0.0) / file_tokens))
+    tokens = (row.n or 0) * (row.avgdl or 0.0)
+    # Ranges of about ``file_tokens``; a small index has as many as there are cores, so that none sorts it alone.
+    files = max(1, math.ceil(tokens / file_tokens), min(spark.sparkContext.defaultParallelism, math.ceil(tokens / LEAST_TOKENS)))
     _by_token(search.occurrences(documents), files, f"{path}/postings")
     _by_token(search.ngram_postings(documents), files, f"{path}/grams")
     search.authority(links, quality).write.mode("overwrite").parquet(f"{path}/authority")
