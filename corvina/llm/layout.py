@@ -9,13 +9,16 @@ links, pointers, bylines, topic lines) is furniture too, all other varying nodes
 
 Every page is aligned with its next ``NEIGHBOURS`` pages of the host in the order of a min-hash of its labels, which
 puts pages with a common template side by side; the number of alignments is linear in the pages.  A host with more
-than a share of all pages is split by salts, so a task holds neither a host nor a group of copies in memory.
+than a share of all pages is split by salts, so a task holds neither a host nor a group of copies in memory.  That
+gives a lower bound of the pages a node is matched on, and the pages that hold it are an upper one.  Nodes that the two
+leave open are settled by aligning the pages that hold them, each with all others until it is matched (``_settle``).
 """
 
 from __future__ import annotations
 
 import gc
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
@@ -24,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvina.llm.canonical import transducer
 from corvina.llm.pages import site
 from corvina.llm.residue import bad_title
-from corvina.session import ship, stage
+from corvina.session import sent_if_small, ship, stage
 
 #: A weaker node, which is no page's title, is one if it was matched on so many pages and such a share of the host's.
 WEAK_PAGES, WEAK_SHARE = 8, 0.02
@@ -40,7 +43,7 @@ WEAK_PAGES, WEAK_SHARE = 8, 0.02
 #: different, and no word in more than such a share of them.  Fewer entries say too little about themselves.
 FEW_ENTRIES, COMMON_WORD = 10, 0.6
 
-#: Pages a page is aligned with.
+#: Pages a page is aligned with before it is known which nodes need more.
 NEIGHBOURS = 3
 
 #: A node is a host's template if alignments matched it on so many pages and such a share of the host's pages.  As the
@@ -185,15 +188,69 @@ def is_tail(line: Line) -> bool:
     return line.inner and line.kind == "long" and (line.text[0].islower() or len(line.text) <= 24) and "@" not in line.masked
 
 
-#: Occurrences of a leaf are paired each with each up to so many pairs; a leaf that recurs more often in both pages is
-#: paired occurrence by occurrence, first with first and so on, which is an order-preserving matching too.
+#: Occurrences of a leaf are listed as pairs up to so many; if one recurs more often in both pages, their best matching
+#: is found without a list (``_common`` for leaves, ``_heaviest`` for blocks), which has the same weight.
 EACH_WITH_EACH = 64
 
 
-def _paired(mine: list[int], theirs: list[int]) -> Iterable[tuple[int, int]]:
-    if len(mine) * len(theirs) <= EACH_WITH_EACH:
-        return [(i, j) for i in mine for j in theirs]
-    return zip(mine, theirs)
+def _recurs(mine: dict[int, list[int]], theirs: dict[int, list[int]]) -> bool:
+    return any(len(places) * len(theirs[x]) > EACH_WITH_EACH for x, places in mine.items() if x in theirs)
+
+
+def _common(p: Sequence[int], q: Sequence[int]) -> list[int]:
+    """A longest common subsequence; a row of its table is one integer with a bit per place of ``q``."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(q):
+        at[x] = at.get(x, 0) | 1 << j
+    every = (1 << len(q)) - 1
+    rows = [every]  # a bit is clear where the length grows
+    for x in p:
+        row = rows[-1]
+        hit = row & at.get(x, 0)
+        rows.append((row + hit | row - hit) & every)
+    out, j = [], len(q) - 1
+    for i in range(len(p) - 1, -1, -1):
+        while j >= 0 and rows[i + 1] >> j & 1:
+            j -= 1
+        if j < 0:
+            break
+        if rows[i] >> j & 1:  # it grows at this place with p[i] only
+            out.append(p[i])
+            j -= 1
+    return out[::-1]
+
+
+#: Cells of a table of weights that is kept whole; a larger one is halved.
+MOST_CELLS = 4_000_000
+
+
+def _heaviest(weights: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """The (row, column) kinds of the heaviest chain of two sequences of kinds, whose pairs weigh ``weights``."""
+
+    def best(rows: np.ndarray, columns: np.ndarray, kept: list | None = None) -> np.ndarray:
+        row = np.zeros(len(columns) + 1, dtype=np.int64)
+        for kind in rows:
+            if kept is not None:
+                kept.append(row)
+            new = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[kind, columns]), out=new[1:])
+            row = new
+        return row
+
+    if len(rows) > 1 and len(rows) * len(columns) > MOST_CELLS:
+        half = len(rows) // 2
+        split = int(np.argmax(best(rows[:half], columns) + best(rows[half:][::-1], columns[::-1])[::-1]))
+        return _heaviest(weights, rows[:half], columns[:split]) + _heaviest(weights, rows[half:], columns[split:])
+    kept: list[np.ndarray] = []
+    kept.append(best(rows, columns, kept))
+    out, j = [], len(columns)
+    for i in range(len(rows), 0, -1):
+        while j and kept[i][j] == kept[i][j - 1]:
+            j -= 1
+        if j and kept[i][j] != kept[i - 1][j]:
+            out.append((int(rows[i - 1]), int(columns[j - 1])))
+            j -= 1
+    return out[::-1]
 
 
 def _chain(pairs: dict[tuple[int, int], int], width: int) -> list[tuple[int, int]]:
@@ -260,12 +317,15 @@ def match(a: Sequence[Sequence[int]], b: Sequence[Sequence[int]]) -> set[int]:
         for i, block in enumerate(blocks):
             for x in dict.fromkeys(block):
                 places.setdefault(x, []).append(i)
+    if _recurs(mine, theirs):
+        return _blocks(a, b)
     inner: dict[tuple[int, int], list[int]] = {}
     weights: dict[tuple[int, int], int] = {}
     for x in shared:
-        for i, j in _paired(mine[x], theirs[x]):
-            if (i, j) not in weights:
-                weights[i, j], inner[i, j] = _leaves(a[i], b[j])
+        for i in mine[x]:
+            for j in theirs[x]:
+                if (i, j) not in weights:
+                    weights[i, j], inner[i, j] = _leaves(a[i], b[j])
     return {x for pair in _chain(weights, len(b)) for x in inner[pair]}
 
 
@@ -276,12 +336,33 @@ def _leaves(p: list[int], q: list[int]) -> tuple[int, list[int]]:
         return (2, [one]) if one in many else (0, [])
     if p == q:
         return len(p) + 1, p
-    theirs = _places(q)
-    pairs = {pair: 1 for x, places in _places(p).items() if x in theirs for pair in _paired(places, theirs[x])}
-    out = [p[i] for i, _ in _chain(pairs, len(q))]
+    mine, theirs = _places(p), _places(q)
+    if _recurs(mine, theirs):
+        out = _common(p, q)
+    else:
+        pairs = {(i, j): 1 for x, places in mine.items() if x in theirs for i in places for j in theirs[x]}
+        out = [p[i] for i, _ in _chain(pairs, len(q))]
     return len(out) + 1, out
 
 
+def _blocks(a: list[list[int]], b: list[list[int]]) -> set[int]:
+    """What ``match`` returns, for pages in which a leaf recurs in many blocks: blocks of one wording are weighed once."""
+    mine, theirs = {}, {}
+    rows = np.array([mine.setdefault(tuple(x), len(mine)) for x in a])
+    columns = np.array([theirs.setdefault(tuple(x), len(theirs)) for x in b])
+    holders: dict[int, list[int]] = {}
+    for block, j in theirs.items():
+        for x in set(block):
+            holders.setdefault(x, []).append(j)
+    kinds = list(theirs)
+    weights = np.zeros((len(mine), len(theirs)), dtype=np.int64)
+    for block, i in mine.items():
+        for j in {j for x in set(block) for j in holders.get(x, ())}:
+            weights[i, j] = _leaves(list(block), list(kinds[j]))[0]
+    own = list(mine)
+    return {x for i, j in set(_heaviest(weights, rows, columns)) for x in _leaves(list(own[i]), list(kinds[j]))[1]}
+
+
 _TREE = T.StructType(
     [
         T.StructField("host", T.StringType()),
@@ -387,6 +468,17 @@ def trees(search: DataFrame) -> DataFrame:
     return pages.mapInArrow(_trees, _TREE)
 
 
+def _blocks_of(leaves: Iterable[int], numbers: Iterable[int]) -> list[list[int]]:
+    out: list[list[int]] = []
+    last = None
+    for leaf, number in zip(leaves, numbers):
+        if number != last:
+            out.append([])
+            last = number
+        out[-1].append(leaf)
+    return out
+
+
 _SUPPORT = "host string, label long, pages long, matched long, titles long, prose long, short boolean"
 
 
@@ -395,16 +487,6 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     counts: dict[tuple[str, int], list] = {}
     window: list[tuple] = []  # (host, salt, blocks of leaves, matched labels, leaves, short, title, prose)
 
-    def blocks_of(leaves: list[int], numbers: list[int]) -> list[list[int]]:
-        out: list[list[int]] = []
-        last = None
-        for leaf, number in zip(leaves, numbers):
-            if number != last:
-                out.append([])
-                last = number
-            out[-1].append(leaf)
-        return out
-
     def close(page: tuple) -> None:
         host, _, _, matched, leaves, short, title, prose = page
         for x in matched | set(short):
@@ -429,8 +511,10 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for host, salt, leaves, numbers, short, title, prose in zip(*(c.to_pylist() for c in batch.columns)):
             while window and (window[0][:2] != (host, salt) or len(window) > NEIGHBOURS):
                 close(window.pop(0))
-            page = (host, salt, blocks_of(leaves, numbers), set(), leaves, short, title, prose)
+            page = (host, salt, _blocks_of(leaves, numbers), set(), leaves, short, title, prose)
             if any(other[4] == leaves for other in window):
+                if title is not None:
+                    counts.setdefault((host, title), [0, 0, 0, 0, False])[2] += 1
                 continue  # a copy of a page already there says nothing about what is constant
             for other in window:
                 found = match(other[2], page[2])
@@ -444,6 +528,49 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     yield flush()
 
 
+_SETTLED = "host string, label long, pages long, matched long"
+
+
+def _settle(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Counts per (host, label) from the different pages that hold the label, sorted by both.
+
+    A page is matched if its alignment with any other page matches the label.  No pair of pages is left out but those of
+    which both are matched already.  A label matched on ``enough`` pages is settled.
+    """
+    group: tuple | None = None
+    rows: list[tuple] = []
+    alone, done = [], []  # pages not matched yet, and matched: (leaves, blocks, short)
+    shorts = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(4)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(columns, ["host", "label", "pages", "matched"])
+
+    def close() -> None:
+        if group is not None:
+            rows.append((*group, len(done) + shorts, len(done)))
+
+    for batch in batches:
+        for host, x, leaves, numbers, short, enough in zip(*(c.to_pylist() for c in batch.columns)):
+            if (host, x) != group:
+                close()
+                group, alone, done, shorts = (host, x), [], [], 0
+            if len(done) >= enough:
+                continue
+            page, tree = (array("q", leaves), array("i", numbers), short), _blocks_of(leaves, numbers)
+            meets = [x in match(_blocks_of(*other[:2]), tree) for other in alone]
+            found = any(meets) or any(x in match(_blocks_of(*other[:2]), tree) for other in reversed(done))
+            done += [other for other, met in zip(alone, meets) if met]
+            alone = [other for other, met in zip(alone, meets) if not met]
+            (done if found else alone).append(page)
+            shorts = sum(other[2] for other in alone)  # short pages that aren't matched
+        if len(rows) > 100_000:
+            yield flush()
+    close()
+    yield flush()
+
+
 def _closing(pages: DataFrame, first: DataFrame, titles: DataFrame, least: float) -> DataFrame:
     """(label) of whole lines that end like a sentence and are template by their place in the corpus.
 
@@ -485,23 +612,64 @@ def template(pages: DataFrame, documents: DataFrame) -> DataFrame:
     total = documents.count()
     # At most HOT_PARTS hosts can have more than that share of all pages.
     hot = sizes.where(F.col("host_pages") * HOT_PARTS > total).select("host", F.ceil(F.col("host_pages") * HOT_PARTS / F.lit(max(total, 1)) / 64).alias("salts"))
-    salted = pages.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("url"), F.coalesce("salts", F.lit(1).cast("long"))))
-    ordered = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "least", "url")
+    # Copies of a page stand side by side, so that each is left out of the alignments.
+    copy = F.xxhash64("leaves").alias("copy")
+    salted = pages.withColumn("copy", copy).join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod("copy", F.coalesce("salts", F.lit(1).cast("long"))))
+    ordered = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "least", "copy", "url")
     counts = ordered.select("host", "salt", "leaves", "blocks", "short", "title", "prose").mapInArrow(_align, _SUPPORT)
     sums = [F.sum(c).alias(c) for c in ("pages", "matched", "titles", "prose")] + [F.max("short").alias("short")]
     # Copies of a page took no part in the alignment, so they don't count among the pages of their host either.
-    different = pages.select("host", F.xxhash64("leaves").alias("leaves")).distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    nodes = counts.groupBy("host", "label").agg(*sums).join(different, "host")
-    nodes = nodes.withColumn("here", (F.col("matched") >= LEAST_PAGES) & (F.col("matched") >= F.col("host_pages") * LEAST_SHARE))
-    nodes = nodes.withColumn("weak", (F.col("matched") >= WEAK_PAGES) & (F.col("matched") >= F.col("host_pages") * WEAK_SHARE))
-    world = nodes.groupBy("label").agg(F.max("here").alias("here"), F.max("weak").alias("weak"), *sums)
-    common = F.col("short") & (F.col("titles") == 0) & (F.col("pages") >= max(COMMON_PAGES, COMMON_SHARE * total)) & (F.col("prose") * 4 <= F.col("pages"))
-    world = stage(world.where(F.col("here") | F.col("weak") | common | (F.col("titles") > 0)).select("label", "titles", (F.col("here") | (F.col("weak") & (F.col("titles") == 0)) | common).alias("template")), "nodes")
-    first = world.where("template").select("label")
-    closing = _closing(pages, first, world.where("titles > 0").select("label"), max(COMMON_PAGES, COMMON_SHARE * total))
+    different = pages.select("host", copy).distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    # A node is matched on as many pages as hold it at most.
+    held = pages.select("host", F.explode(F.array_distinct("leaves")).alias("label")).groupBy("host", "label").agg(F.count("*").alias("held")).where("held > 1")
+    nodes = counts.groupBy("host", "label").agg(*sums).join(held, ["host", "label"], "full").na.fill(0).na.fill(False)
+    nodes = stage(nodes.join(different, "host").withColumn("held", F.greatest("held", "pages")), "support")
+    least = max(COMMON_PAGES, COMMON_SHARE * total)
+    world = stage(_judged(nodes, sums, least).where("template OR titles > 0 OR open"), "nodes")
+    first = world.where("template").select("label").unionByName(_open(pages, nodes, world.where("open"), sums, least))
+    closing = _closing(pages, first, world.where("titles > 0").select("label"), least)
     return first.unionByName(closing).distinct()
 
 
+def _enough(least: int, share: float) -> Column:
+    return F.greatest(F.lit(least), F.ceil(F.col("host_pages") * share))
+
+
+def _judged(nodes: DataFrame, sums: list[Column], least: float) -> DataFrame:
+    """(label, titles, template, common, open): whether a label is template by the pages it was matched on so far; whether
+    it would be by the pages that hold it (``open``), and then by its frequency everywhere (``common``)."""
+    over = lambda count, pages, share: F.max((F.col(count) >= pages) & (F.col(count) >= F.col("host_pages") * share))
+    world = nodes.groupBy("label").agg(
+        over("matched", LEAST_PAGES, LEAST_SHARE).alias("here"), over("matched", WEAK_PAGES, WEAK_SHARE).alias("weak"),
+        over("held", LEAST_PAGES, LEAST_SHARE).alias("here_most"), over("held", WEAK_PAGES, WEAK_SHARE).alias("weak_most"), F.sum("held").alias("held"), *sums,
+    )
+    common = lambda pages: F.col("short") & (F.col("titles") == 0) & (F.col(pages) >= least) & (F.col("prose") * 4 <= F.col(pages))
+    template = F.col("here") | (F.col("weak") & (F.col("titles") == 0)) | common("pages")
+    most = F.col("here_most") | (F.col("weak_most") & (F.col("titles") == 0)) | common("held")
+    return world.select("label", "titles", template.alias("template"), common("held").alias("common"), (most & ~template).alias("open"))
+
+
+def _open(pages: DataFrame, nodes: DataFrame, undecided: DataFrame, sums: list[Column], least: float) -> DataFrame:
+    """(label) of those ``undecided`` that are template once all pages that hold them are aligned."""
+    undecided = sent_if_small(undecided.select("label", "titles", "common"), "undecided", MOST_SENT)
+    mine = stage(nodes.join(undecided.withColumnRenamed("titles", "named"), "label"), "open")
+    # Where a label can't reach what makes it template, its pages count only for its frequency everywhere.
+    weak = (F.col("named") == 0) & (F.col("held") >= WEAK_PAGES) & (F.col("held") >= F.col("host_pages") * WEAK_SHARE)
+    here = (F.col("held") >= LEAST_PAGES) & (F.col("held") >= F.col("host_pages") * LEAST_SHARE)
+    enough = F.least(_enough(LEAST_PAGES, LEAST_SHARE), F.when(F.col("named") == 0, _enough(WEAK_PAGES, WEAK_SHARE)))
+    asked = sent_if_small(mine.where((F.col("held") > 1) & (F.col("common") | here | weak)).select("host", "label", enough.alias("enough")), "asked", MOST_SENT)
+    named = pages.withColumn("copy", F.xxhash64("leaves"))
+    holders = named.select("host", "copy", F.explode(F.array_distinct("leaves")).alias("label")).join(asked, ["host", "label"]).distinct()
+    holders = sent_if_small(holders, "holders", MOST_SENT)
+    one = named.join(holders.select("host", "copy").distinct(), ["host", "copy"], "left_semi").groupBy("host", "copy").agg(F.min(F.struct("url", "leaves", "blocks", "short")).alias("page"))
+    rows = one.join(holders, ["host", "copy"]).select("host", "label", "copy", "page.leaves", "page.blocks", F.expr("array_contains(page.short, label)").alias("short"), "enough")
+    rows = rows.repartition("host", "label").sortWithinPartitions("host", "label", "copy").select("host", "label", "leaves", "blocks", "short", "enough")
+    settled = rows.mapInArrow(_settle, _SETTLED).select("host", "label", F.col("pages").alias("all_pages"), F.col("matched").alias("all_matched"))
+    whole = mine.drop("common").join(settled, ["host", "label"], "left")
+    whole = whole.withColumns({"pages": F.greatest("pages", "all_pages"), "matched": F.greatest("matched", "all_matched")})
+    return _judged(whole, sums, least).where("template").select("label")
+
+
 #: Up to so many template labels (8 bytes each) are sent to the workers; beyond that they are joined to the pages.
 MOST_SENT = 200_000
 
@@ -559,7 +727,7 @@ def classify(lines: Sequence[Line], constant: set[int]) -> list[bool]:
     for i, line in enumerate(lines):
         if line.kind in ("crumb", "pager"):
             out[i] = True
-        elif line.labels and not (is_tail(line) and not out[i - 1]):
+        elif line.labels and not (is_tail(line) and not out[i - 1]) and not ("|" in line.text and i + 1 < len(lines) and _heads(line.text, lines[i + 1].text)):
             fixed[i] = out[i] = sum(x in constant for x in line.labels) * 2 > len(line.labels) or line.whole in constant
             if not out[i] and len(line.text) <= 180:
                 if line.prefix in constant and (not line.inner or out[i - 1]):
@@ -572,10 +740,11 @@ def classify(lines: Sequence[Line], constant: set[int]) -> list[bool]:
     while i < len(lines):
         if fixed[i] and lines[i].kind in ("short", "long"):
             j = i + 1
-            while j < len(lines) and not out[j] and lines[j].kind == "short" and _item(lines[j].text):
+            # An entry that is constant itself doesn't end the list.
+            while j < len(lines) and (not out[j] or j > i + 1) and lines[j].kind == "short" and _item(lines[j].text):
                 j += 1
             run = j - i - 1
-            if run >= 2 and _titles(lines[i + 1 : j]) or run == 1 and _NUMBERED.match(lines[i + 1].text):
+            if run >= 2 and _titles([lines[k] for k in range(i + 1, j) if not out[k]]) or run == 1 and _NUMBERED.match(lines[i + 1].text):
                 for k in range(i + 1, j):
                     out[k] = True
             i = max(j, i + 1)
@@ -584,6 +753,11 @@ def classify(lines: Sequence[Line], constant: set[int]) -> list[bool]:
     return out
 
 
+def _heads(line: str, below: str) -> bool:
+    """Whether a line without numbers is the head of a table, with a row of as many cells and numbers below."""
+    return line.count("|") == below.count("|") and not _DIGITS.search(line) and _DIGITS.search(below) is not None
+
+
 def _titles(entries: Sequence[Line]) -> bool:
     """Whether entries could be titles of different pages, however many they are."""
     if len(entries) <= FEW_ENTRIES:

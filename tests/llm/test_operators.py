@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -264,6 +265,52 @@ def test_sentence_lines_rare_on_every_host_are_furniture(spark):
         assert (legal in gone) is (legal in text) and copied not in gone and not any(x.text in gone for x in lines[4:7] if x.text.startswith(("The ", "It ", "Nobody ")))
 
 
+def test_leaves_that_recur_are_matched_as_well_as_any():
+    assert layout.match([[7] * 4 + [1] + [7] * 7], [[7] * 2 + [1] + [7] * 7]) == {1, 7}  # paired one by one, 1 is lost
+    rnd = random.Random(5)
+    for _ in range(200):
+        p, q = ([rnd.randint(0, 2) for _ in range(rnd.randint(1, 40))] for _ in "pq")
+        weight = np.array([[rnd.randint(0, 3) for _ in range(3)] for _ in range(3)])
+        longest, best = ([[0] * (len(q) + 1) for _ in range(len(p) + 1)] for _ in "pq")
+        for i, x in enumerate(p):
+            for j, y in enumerate(q):
+                longest[i + 1][j + 1] = max(longest[i][j] + (x == y), longest[i][j + 1], longest[i + 1][j])
+                best[i + 1][j + 1] = max(best[i][j] + weight[x][y], best[i][j + 1], best[i + 1][j])
+        assert len(layout._common(p, q)) == longest[-1][-1]
+        assert sum(weight[x][y] for x, y in layout._heaviest(weight, np.array(p), np.array(q))) == best[-1][-1]
+    blocks = [[[7, 1]] * 9 + [[7, 2, 3]], [[7, 2, 3]] + [[7, 1]] * 9]
+    assert layout.match(*blocks) == {1, 7}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_nodes_of_pages_that_are_no_neighbours_are_template(spark, monkeypatch, most):
+    note = "Opinions given here are those of the authors alone."
+    data = []
+    for g in range(12):
+        menu = [f"{w} of group {'abcdefghijkl'[g] * 3}" for w in "Maps Roads Boats Mills Lamps Barns Gates Ponds Looms Kilns Docks Wells".split()]
+        for k in range(9):
+            body = [f"The {'xyzuvwrst'[k] * 4}{'abcdefghijkl'[g] * 4} keeps its gate {end}" for end in ("open.", "closed.")]
+            data.append((f"https://one.example/{g}/{k}", None, "\n".join([*menu, "", body[0], *([note] if k == 4 else []), body[1]])))
+    docs = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(data)], "doc_id long, url string")
+    search = spark.createDataFrame(data, "url string, title string, text string")
+    monkeypatch.setattr(layout, "MOST_SENT", most)
+    labels = {r.label for r in layout.template(layout.trees(search), docs).collect()}
+    lines = [x for u, t, text in data for x in layout.parse(text, t, "one.example")]
+    assert all(x in labels for line in lines if line.text == note for x in line.labels)
+    assert not any(x in labels for line in lines if line.text.startswith("The ") for x in line.labels)
+
+
+def test_a_constant_entry_does_not_end_a_list_of_links():
+    text = "Most read on Quiet News\nThe mill of the lake\nThe lamp of the hill\nA sentence of the article stands here."
+    head, entry = layout.label("Lmost read on @"), layout.label("Lthe lamp of the hill")
+    assert layout.classify(layout.parse(text, None, "quiet-news.example"), {head, entry}) == [True, True, True, False]
+
+
+def test_heads_of_tables_are_content_however_frequent():
+    lines = layout.parse("Home | Archive | Contact\n\nkiln | press | loom\nVelnel | 19 | 534", None, "h.test")
+    assert layout.classify(lines, {x for line in lines[:3] for x in line.labels}) == [True, False, False, False]
+
+
 def test_join_in_place_of_broadcast_gives_the_same(spark, monkeypatch):
     data = site_pages(20)
     docs = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(data)], "doc_id long, url string")
