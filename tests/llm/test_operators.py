@@ -121,6 +121,30 @@ def test_lines_that_differ_by_names_and_dates_are_removed(spark):
     assert found == [(f"http://a.test/{i}", 3) for i in range(8)]  # the byline isn't one and the same line
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_no_similar_lines_are_missed(spark, monkeypatch, most):
+    for name in ("MOST_NARROW", "MOST_WIDE"):
+        monkeypatch.setattr(site_lines, name, most)
+    rnd = random.Random(11)
+    vocabulary = [a + b for a in "bdfgklmnprst" for b in ("ar", "el", "im", "on", "ut")]
+    base = [rnd.sample(vocabulary, n) for n in (5, 9, 10, 12, 14, 20)]
+    texts = []
+    for i in range(40):
+        near = [[w if rnd.random() < 0.93 else rnd.choice(vocabulary) for w in rnd.choice(base)] for _ in range(rnd.randint(0, 3))]
+        texts.append("\n".join(" ".join(x) for x in [*near, *(rnd.sample(vocabulary, rnd.randint(1, 12)) for _ in range(2))]))
+    data = [(i, f"http://{'a' if i % 3 else 'b'}.test/{i}", t) for i, t in enumerate(texts)]
+    documents = spark.createDataFrame([(i, u) for i, u, _ in data], "doc_id long, url string")
+    search = spark.createDataFrame([(u, "t", t) for _, u, t in data], "url string, title string, text string")
+    lines = [(u[7], i, n, frozenset(x.split())) for i, u, t in data for n, x in enumerate(t.split("\n"))]
+    drop = set()
+    for host, _, _, middle in lines:
+        alike = [x for x in lines if x[0] == host and len(x[3] & middle) >= 0.8 * len(x[3] | middle)]
+        if len({x[1] for x in alike}) >= 3 and len({x[1] for x in alike}) >= 0.1 * len({x[1] for x in lines if x[0] == host}):
+            drop |= {x[1:3] for x in alike}
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in drop) for i, _, t in data}
+    assert 20 < len(drop) < len(lines) and dict(rows(site_lines.without_repeated(documents, search))) == want
+
+
 def test_lines_of_no_pages(spark):
     documents, search = spark.createDataFrame([], "doc_id long, url string"), spark.createDataFrame([], "url string, title string, text string")
     assert site_lines.repeated_lines(documents.limit(0), search.limit(0)).count() == 0
